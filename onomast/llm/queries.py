@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from onomast.llm import decontaminate, mixing, quality, simhash, tokens, warc
+from onomast.llm import chat, decontaminate, mixing, quality, sharding, simhash, tokens, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,14 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one (-7) that says the template's control strings."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    more = spark.range(2).selectExpr("-7L as conv_id", "id as turn", "if(id = 0, 'user', 'assistant') as role", f"'{said}' as text")
+    return chat.summary(chat.render(rows.unionByName(more)))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -40,13 +48,20 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("repeat_spans")
 
 
+def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = sharding.shards_of(table(spark, sf_dir, "documents"))
+    return rows
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_token_counts": op2_token_counts,
     "op5_simhash": op5_simhash,
     "op6_warc": op6_warc,
+    "op7_chat": op7_chat,
     "op8_decontaminate": op8_decontaminate,
     "op9_quality_rules": op9_quality_rules,
+    "op10_shard": op10_shard,
 }
 
 ORACLES: dict[str, str] = {}
