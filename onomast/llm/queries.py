@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from onomast.llm import chat, decontaminate, mixing, quality, sharding, simhash, tokens, warc
+from onomast.llm import chat, decontaminate, mixing, pii, quality, sharding, simhash, template, tokens, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,14 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.counts(table(spark, sf_dir, "documents"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.spans(table(spark, sf_dir, "documents")))
+
+
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return template.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents"))
 
@@ -56,6 +64,8 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_token_counts": op2_token_counts,
+    "op3_pii": op3_pii,
+    "op4_html_text": op4_html_text,
     "op5_simhash": op5_simhash,
     "op6_warc": op6_warc,
     "op7_chat": op7_chat,
