@@ -59,17 +59,11 @@ def main(args: list[str]) -> int:
         for row in found.orderBy("at").toLocalIterator():
             print(row.value.strip())
         return 0
-    pair = names_of(spark, args[1]).withColumn("p", parse_name("value"))
-    same = pair.select(names_consistent("p", parse_name(names_literal(args[2])))).first()[0]
+    pair = spark.createDataFrame([(args[1], args[2])], "a string, b string").select(parse_name("a").alias("a"), parse_name("b").alias("b"))
+    same = pair.select(names_consistent("a", "b")).first()[0]
     print("y" if same else "n")
     return 0 if same else 1
 
 
-def names_literal(name: str):
-    from pyspark.sql import functions as F
-
-    return F.lit(name)
-
-
 if __name__ == "__main__":
     sys.exit(main(sys.argv[1:]))
