@@ -252,4 +252,5 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = uid.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__uid").alias("uid")).alias("__row"), text_col)
     kept = labelled(written(fingerprints(keyed, "__row", text_col, shingle), "fingerprints"), "__row", distance)
     kept = written(kept.where(F.col("__row") == F.col("component_id")).select(F.col("__row.uid").alias("__kept")), "kept")
-    return uid.join(kept, F.col("__uid") == F.col("__kept"), "left_semi").select(*docs.columns)
+    # A merge join at every size: a broadcast of what stays would not scale with it.
+    return uid.join(kept.hint("merge"), F.col("__uid") == F.col("__kept"), "left_semi").select(*docs.columns)
