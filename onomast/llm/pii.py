@@ -156,5 +156,9 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
         return F.array_join(part, ",")
 
     base = F.filter("found", lambda s: s["base"])
-    counts = [F.size(F.filter(base, lambda s, k=k: s["no"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+
+    def count(number: int) -> Column:
+        return F.size(F.filter(base, lambda s: s["no"] == number)).cast("long")
+
+    counts = [count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return found.select(id_col, *counts, F.sha2(text(base), 256).alias("base_sha256"), text(F.col("found")).alias("spans"))
