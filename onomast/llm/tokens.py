@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from onomast.llm.files import create, dealt, listing, read_range
-from onomast.llm.store import scratch, written
+from onomast.sources.scratch import scratch, written
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: The published pre-tokenisation pattern of the byte-level vocabularies (fixed value).

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from onomast.llm.files import create, dealt, stream
-from onomast.llm.store import scratch, written
+from onomast.sources.scratch import scratch, written
 
 _DATE = "2026-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
