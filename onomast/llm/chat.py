@@ -5,8 +5,9 @@ A conversation is rendered as its turns in order, each
     <s>[ROLE]role[/ROLE]text</s>
 
 and parsed back by splitting at the control strings.  A turn whose role or text
-does not come back identical holds a control string (or its escaped form); it is
-rendered again with a backslash put after the first character of each, and the
+does not come back identical, or holds a bare control string (or its escaped form)
+that a reader could take for markup, is rendered again
+with a backslash put after the first character of each, and the
 result is parsed and compared once more.  Escaping adds one backslash to whatever
 looks like a control string with any number of them, so it is undone by taking
 one away, and no escaped text holds a control string.
@@ -94,7 +95,8 @@ def render(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", r
     def conflicting(x: Column) -> Column:
         back = parse(_render(x, t, F.lit(False)), t)
         same = (F.size(back) == 1) & (back[0]["role"] == x["role"]) & (back[0]["text"] == x["text"])
-        return F.struct(x["role"].alias("role"), x["text"].alias("text"), (~F.coalesce(same, F.lit(False))).alias("escaped"))
+        same = F.coalesce(same, F.lit(False)) & ~F.concat(x["role"], F.lit("\n"), x["text"]).rlike(t.pattern)
+        return F.struct(x["role"].alias("role"), x["text"].alias("text"), (~same).alias("escaped"))
 
     talks = talks.select("conv", F.transform("turns", conflicting).alias("turns"))
     # Round 2: the whole conversation, with those turns escaped, must come back.

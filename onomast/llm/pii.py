@@ -1,8 +1,8 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame operations only.
 
 Base patterns find emails, IP addresses, card numbers (Luhn) and phone numbers.
-They seed the method: the one and two words before a base span are lexical patterns,
-and any other word with a digit or an ``@`` that follows such words is a candidate.
+They seed the method: the two words before a base span are a lexical pattern, and
+any other word with a digit or an ``@`` that follows such words is a candidate.
 Patterns and values form a graph.  Round by round a pattern's confidence in a kind
 is the mean score of the distinct values that follow it, and a value's score is
 1 - prod(1 - confidence) over its patterns of at least ``confident``; base values keep
@@ -96,18 +96,16 @@ def _free(found: DataFrame) -> DataFrame:
     return marked.where(base).select(columns).unionByName(words.select(columns))
 
 
-def _patterns(left: Column) -> Column:
-    """The one and two words before a mention, lower-cased."""
+def _pattern(left: Column) -> Column:
+    """The two words before a mention (one where there is one only), lower-cased."""
     words = F.split(F.trim(F.regexp_replace(F.lower(left), rf"[{_GAP}]+", " ")), " ")
-    n = F.size(words)
-    last = F.when(F.element_at(words, -1) != "", F.element_at(words, -1))
-    pair = F.when(n >= 2, F.concat_ws(" ", F.element_at(words, F.when(n >= 2, F.lit(-2)).otherwise(F.lit(-1))), last))
-    return F.array_compact(F.array(last, pair))
+    last = F.array_join(F.slice(words, -F.least(F.size(words), F.lit(2)), F.lit(2)), " ")
+    return F.nullif(last, F.lit(""))
 
 
 def learned(free: DataFrame, support: int, confident: float, rounds: int) -> DataFrame:
     """(pattern, value, kind) that the pattern-value graph vouches for."""
-    edges = free.select(F.explode(_patterns(F.col("left"))).alias("pattern"), "kind", F.lower("value").alias("value"))
+    edges = free.select(_pattern(F.col("left")).alias("pattern"), "kind", F.lower("value").alias("value")).where("pattern IS NOT NULL")
     edges = edges.groupBy("pattern", "value").agg(F.min(F.when(F.col("kind") != "word", F.col("kind"))).alias("base"))
     totals = edges.groupBy("pattern").agg(F.count("*").alias("n"), F.count("base").alias("seeds"))
     edges = edges.join(totals.where((F.col("n") >= support) & (F.col("seeds") > 0)), "pattern")
@@ -135,7 +133,7 @@ def spans(
     known = learned(free, support, confident, rounds).select("pattern", F.col("value").alias("known"), F.col("kind").alias("of"))
     number = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int") - 1
     base = free.where("kind <> 'word'").select("row", F.struct(number.alias("no"), "start", "end", F.lit(True).alias("base")).alias("span"))
-    words = free.where("kind = 'word'").select("row", "start", "end", F.lower("value").alias("value"), F.explode(_patterns(F.col("left"))).alias("pattern"))
+    words = free.where("kind = 'word'").select("row", "start", "end", F.lower("value").alias("value"), _pattern(F.col("left")).alias("pattern"))
     new = words.join(known, (words["pattern"] == known["pattern"]) & (F.col("value") == F.col("known"))).select("row", "start", "end", F.col("of").alias("kind"))
     new = new.groupBy("row", "start", "end").agg(F.min("kind").alias("kind"))
     new = new.select("row", F.struct(number.alias("no"), "start", "end", F.lit(False).alias("base")).alias("span"))
