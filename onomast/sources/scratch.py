@@ -46,10 +46,21 @@ def drop(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, rows: str = "few") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: cuts
-    lineage and survives the loss of any executor."""
+    lineage and survives the loss of any executor.
+
+    ``rows`` says how many there are beside the table that they come from: "few"
+    (after a shuffle) merges partitions, "slim" (a scan's small rows) deals them out
+    anew after the scan's work, both to a sixteenth of the shuffle partitions, so that
+    derived tables are not many tiny files; "all" keeps the partitions.
+    """
     spark = df.sparkSession
+    files = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16)
+    if rows == "few":
+        df = df.coalesce(files)
+    elif rows == "slim":
+        df = df.repartition(files)
     path = f"{scratch(spark, label)}/table"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
