@@ -1,8 +1,8 @@
 """``parse_name`` and the accessors of its result.
 
-The parser is one Arrow kernel that returns the whole record.  Plain names, two
-capitalised ASCII words or the same with a middle initial between, are decided by
-native expressions; the kernel gets null for them.  Accessors are native.
+The parser is one Arrow kernel that returns the whole record.  Plain names (two or
+three capitalised ASCII words, a middle initial, sort order) are decided by native
+expressions; the kernel gets null for them.  Accessors are native.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from onomast.functions.worker import ready, shared_table
-from onomast.kernel.tables import GENERATION_FORMS, GENERATION_NAMES, SUFFIXES, TITLES
+from onomast.kernel.tables import GENERATION_FORMS, GENERATION_NAMES, SUFFIXES, SURNAME_PREFIXES, TITLES
 
 _SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
 NAME_SCHEMA = T.StructType(
@@ -60,35 +60,56 @@ def parse_batch(texts: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays(arrays, names=[n for n, _ in _ARROW], mask=pa.array([r is None for r in rows], pa.bool_()))
 
 
+# Plain forms: capitalised ASCII words with a vowel, and single letters that are no
+# conjunction (E, Y).  In longer forms a word could be a title, credential or particle.
 _WORD = r"(?=[A-Za-z]*[AEIOUYaeiouy])[A-Z][a-z]+"
-_PLAIN = rf"^{_WORD} {_WORD}$"
-_MIDDLE = rf"^{_WORD} [A-DF-XZ]\.? {_WORD}$"
+_LETTER = r"[A-DF-XZ]\.?"
+_TWO = rf"^{_WORD} {_WORD}$"
+_INITIAL = rf"^{_WORD} {_LETTER} {_WORD}$"
+_THREE = rf"^(?=[A-Za-z]{{3}}){_WORD} {_WORD} {_WORD}$"
+_SORTED = rf"^{_WORD}, {_WORD}$"
+_SORTED_INITIAL = rf"^{_WORD}, {_WORD} {_LETTER}$"
 _NOT_FIRST = sorted(TITLES)
+_NOT_MIDDLE = sorted(SURNAME_PREFIXES)
 _NOT_LAST = sorted({*GENERATION_FORMS, *SUFFIXES})
 
 
 def _natively(text: Column) -> tuple[Column, Column]:
     """(whether native expressions can tell, the record if so)."""
-    words = F.split(text, " ")
-    first, last = words[0], F.element_at(words, -1)
-    plain = text.rlike(_PLAIN)
-    middle = text.rlike(_MIDDLE) & ~first.isin(_NOT_FIRST) & ~last.isin(_NOT_LAST)
-    letter = F.when(plain, F.lit("")).otherwise(F.substring(F.element_at(words, 2), 1, 1))
-    initial = F.substring(text, 1, 1)
-    shown = F.when(plain, text).otherwise(F.concat(first, F.lit(" "), letter, F.lit(". "), last))
+    parts = F.split(text, "[ ,.]+")
+    one, two, three = (F.try_element_at(parts, F.lit(i)) for i in (1, 2, 3))
+    in_order = ~one.isin(_NOT_FIRST) & ~three.isin(_NOT_LAST)
+    shape = (
+        F.when(text.rlike(_TWO), 1)
+        .when(text.rlike(_INITIAL) & in_order, 2)
+        .when(text.rlike(_THREE) & in_order & ~two.isin(_NOT_MIDDLE), 3)
+        .when(text.rlike(_SORTED), 4)
+        .when(text.rlike(_SORTED_INITIAL) & ~two.isin(_NOT_FIRST), 5)
+        .otherwise(0)
+    )
+    given = F.when(shape >= 4, two).otherwise(one)
+    last = F.when(shape >= 4, one).when(shape == 1, two).otherwise(three)
+    letter = F.when(shape.isin(2, 3), F.substring(two, 1, 1)).when(shape == 5, F.substring(three, 1, 1)).otherwise("")
+    shown = (
+        F.when(shape.isin(1, 3), text)
+        .when(shape == 4, F.concat(given, F.lit(" "), last))
+        .otherwise(F.concat(given, F.lit(" "), letter, F.lit(". "), last))
+    )
     none = F.lit(None).cast("string")
+    first_span = F.struct(F.lit(0).alias("start"), F.lit(1).alias("end"))
+    second_span = F.struct(F.lit(1).alias("start"), F.lit(2).alias("end"))
     record = F.struct(
-        F.array(first).alias("given_words"),
+        F.when(shape == 3, F.array(given, two)).otherwise(F.array(given)).alias("given_words"),
         F.array(last).alias("surname_words"),
-        F.concat(initial, letter).alias("initials"),
-        F.array(F.struct(F.lit(0).alias("start"), F.lit(1).alias("end"))).alias("given_initial_spans"),
+        F.concat(F.substring(given, 1, 1), letter).alias("initials"),
+        F.when(shape == 3, F.array(first_span, second_span)).otherwise(F.array(first_span)).alias("given_initial_spans"),
         shown.alias("display_name"),
         F.lit(None).cast("int").alias("generation"),
         none.alias("honorific_prefix"),
         none.alias("honorific_suffix"),
         F.reverse(F.lower(F.right(last, F.lit(4)))).alias("surname_key"),
     )
-    return F.coalesce(plain | middle, F.lit(False)), record
+    return F.coalesce(shape > 0, F.lit(False)), record
 
 
 def parse_name(text: str | Column, fast: bool = True) -> Column:

@@ -100,4 +100,5 @@ def ascii_letters(text: str) -> str:
     """All ASCII letters of a text, in lower case."""
     if not text.isascii():
         text = "".join(map(to_ascii, text))
-    return "".join(x for x in text.lower() if x.isalpha())
+    text = text.lower()
+    return text if text.isalpha() else "".join(filter(str.isalpha, text))

@@ -26,6 +26,16 @@ def test_native_path_equals_kernel(names):
     assert both.where(~F.to_json("p").eqNullSafe(F.to_json("q"))).count() == 0
 
 
+def test_native_path_equals_kernel_on_mixtures(spark):
+    """All short mixtures of ordinary words, titles, particles, suffixes and initials."""
+    words = "Jane Doe Jo Ng Captain King Van Ben Jr Senior Iv Phd Q. X V E Y McAvoy O'Doe Li".split()
+    texts = [f"{a} {b}" for a in words for b in words] + [f"{a}, {b}" for a in words for b in words]
+    texts += [f"{a} {b} {c}" for a in words for b in words for c in words] + [f"{a}, {b} {c}" for a in words for b in words for c in words]
+    rows = spark.createDataFrame([(t,) for t in texts], "raw string")
+    both = rows.select("raw", F.to_json(N.parse_name("raw")).alias("x"), F.to_json(N.parse_name("raw", fast=False)).alias("y"))
+    assert both.where("NOT x <=> y").limit(5).collect() == []
+
+
 def test_accessors(names):
     row = names.where("id = 17").select(
         N.first_initial("p"), N.given_name("p"), N.middle_name("p"), N.middle_initials("p"), N.surname("p"), N.generational_suffix("p"),
