@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from onomast.llm.files import sliced
 from onomast.sources.scratch import written
 
 #: Maps A-Z to a-z and every other ASCII byte outside [0-9a-z] to a space.
@@ -135,7 +136,7 @@ def _pass(docs: DataFrame, text_at: int, searchers, first: bool) -> DataFrame:
     own = docs.sparkSession.sparkContext.broadcast(searchers)
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(text_at).to_pylist()
             marks_in = [None] * len(texts) if first else batch.column(len(names) - 2).to_pylist()
             items_in = [()] * len(texts) if first else batch.column(len(names) - 1).to_pylist()
@@ -172,7 +173,7 @@ def search(
     out, at = docs, docs.columns.index(text_col)
     for k, block in enumerate(_blocks(spark, benchmark, item_col, item_text_col, window, block_words)):
         if k:
-            out = written(out, "decontaminate")
+            out = written(out, "decontaminate", "all")
         out = _pass(out, at, build(block, window), k == 0)
     return out
 

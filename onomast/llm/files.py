@@ -10,6 +10,13 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 
+def sliced(batches, rows: int = 256):
+    """Arrow batches cut small, so that a worker holds few texts as Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def create(uri: str):
     system, path = fs.FileSystem.from_uri(uri)
     return system.open_output_stream(path, compression=None)

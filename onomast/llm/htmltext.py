@@ -46,7 +46,8 @@ FURNITURE_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising adslot sponsor sponsored promo promotion banner cookie cookies consent gdpr notice "
     "notices notification popup modal overlay sidebar rail menu nav navbar navigation breadcrumb breadcrumbs footer header masthead "
     "comment comments disqus replies share sharing social related recommended newsletter subscribe subscription signup login search "
-    "pagination pager skip widget widgets toolbar topbar".split()
+    "pagination pager skip widget widgets toolbar topbar sidenav topnav subnav commentlist commentform respond responses discussion "
+    "adbox adunit adsense cookiebar cookiebanner".split()
 )
 _HEADINGS = FURNITURE_NAMES & {"header", "banner", "masthead", "notice"}
 _REMARKS = frozenset("comment comments reply replies disqus ad ads advert sponsored".split())
@@ -60,16 +61,30 @@ class Element:
     main: bool
 
 
+#: With one of these a "header" is the head of the text.
+_OWN = frozenset("article entry post story".split())
+
+
+def _name_words(names: str) -> set[str]:
+    """The words of class and id names, and neighbours written as one ("side-bar")."""
+    words: set[str] = set()
+    for name in names.split():
+        own = [w.lower() for w in _WORD.findall(name)]
+        words.update(own)
+        words.update(a + b for a, b in zip(own, own[1:], strict=False))
+    return words
+
+
 @lru_cache(maxsize=50_000)
 def _element(path: str, tag: str, names: str, role: str, hidden: bool, in_article: bool) -> Element:
-    words = {w.lower() for w in _WORD.findall(names)}
+    words = _name_words(names)
     if tag in ("html", "body", "main"):
         marked = False
     elif tag == "article":
         marked = bool(words & _REMARKS)
     else:
         by_tag = tag in FURNITURE_TAGS and not (tag == "header" and in_article)
-        by_name = words & (FURNITURE_NAMES - _HEADINGS if in_article else FURNITURE_NAMES)
+        by_name = words & (FURNITURE_NAMES - _HEADINGS if in_article else FURNITURE_NAMES - {"header"} if words & _OWN else FURNITURE_NAMES)
         marked = by_tag or role in FURNITURE_ROLES or hidden or bool(by_name)
     main = not marked and (tag in ("article", "main") or role in ("article", "main") or "articleBody" in names)
     return Element(f"{path}/{tag}" + (f".{'.'.join(names.split())}" if names else ""), tag, marked, main)

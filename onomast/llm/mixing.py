@@ -110,6 +110,7 @@ def plan(
             _order(id_col, text_col, seed).alias("order"),
         ),
         "sizes",
+        "slim",
     )
     sources = ordered_weights(sized.groupBy("key").agg(F.sum("size").alias("size")), weights)
     filled = water_fill(sources, budget_ratio, max_epochs)

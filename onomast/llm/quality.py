@@ -22,9 +22,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from onomast.llm.files import sliced
+
 _SPACES = bytes([0x20, *range(0x09, 0x0E)])
 _PLAIN = bytes(b for b in range(256) if b not in b"#*$%&|<>")
-_BATCH_WORDS = 400_000
+_BATCH_WORDS = 200_000
 
 
 @dataclass(frozen=True)
@@ -241,7 +243,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rul
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             cols = measure(batch.column(1).to_pylist(), rules)
             arrays = [batch.column(0), *(pa.array(cols[k], type=t) for k, t in SCHEMA_FIELDS.items())]
             yield pa.RecordBatch.from_arrays(arrays, names=[id_col, *SCHEMA_FIELDS])
@@ -257,7 +259,7 @@ def keep_good(docs: DataFrame, text_col: str = "text", rules: QualityRules = Qua
     at = docs.columns.index(text_col)
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             kept = measure(batch.column(at).to_pylist(), rules)["kept"]
             yield batch.filter(pa.array(kept, type=pa.bool_()))
 

@@ -45,7 +45,7 @@ def directory(rows: DataFrame, limit: int) -> DataFrame:
 
     Level 0 uses the bits of h0, level 1 those of h1 below one full h0 (``base``).
     """
-    rows = written(rows.select("h0", "h1", "bytes"), "rows")
+    rows = written(rows.select("h0", "h1", "bytes"), "rows", "slim")
     total = rows.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     found: DataFrame | None = None
     left, level, fixed = rows.withColumn("base", F.lit(0).cast("long")).withColumn("h", F.col("h0")), 0, 0
@@ -108,7 +108,7 @@ def _looked_up(rows: DataFrame, shards: DataFrame) -> DataFrame:
 def shards_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 16 << 20) -> tuple[DataFrame, DataFrame]:
     """(rows, directory): id, bytes and shard of every document, without its text."""
     rows = _marked(docs.select(id_col, text_col), id_col, text_col)
-    rows = written(rows.select(id_col, "h0", "h1", F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("bytes")), "hashed")
+    rows = written(rows.select(id_col, "h0", "h1", F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("bytes")), "hashed", "slim")
     shards = directory(rows, limit)
     return _looked_up(rows, shards).select(id_col, "bytes", "shard"), shards
 

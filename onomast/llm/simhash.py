@@ -31,11 +31,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from onomast.llm.files import sliced
 from onomast.operators.components import components
 from onomast.sources.scratch import written
 
-_CHUNK = 1 << 15
-_PAIRS = 1 << 20
+_CHUNK = 1 << 13
+_PAIRS = 1 << 18
 
 
 def shingles_of(text: str | None, size: int) -> list[bytes]:
@@ -70,7 +71,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = 4)
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(1)), dtype=np.uint64, count=batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=[id_col, "fp"])
 
@@ -231,7 +232,7 @@ def _search(table: DataFrame, asked: DataFrame, distance: int, block: int) -> Da
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4) -> DataFrame:
     """One row per document: id, fingerprint (16 hex digits) and component_id, the
     smallest id that links reach."""
-    return labelled(written(fingerprints(docs, id_col, text_col, shingle), "fingerprints"), id_col, distance)
+    return labelled(written(fingerprints(docs, id_col, text_col, shingle), "fingerprints", "slim"), id_col, distance)
 
 
 def labelled(fps: DataFrame, id_col: str, distance: int) -> DataFrame:
@@ -250,7 +251,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     id (null last), and one of repeated rows."""
     uid = docs.withColumn("__uid", F.monotonically_increasing_id())
     keyed = uid.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__uid").alias("uid")).alias("__row"), text_col)
-    kept = labelled(written(fingerprints(keyed, "__row", text_col, shingle), "fingerprints"), "__row", distance)
+    kept = labelled(written(fingerprints(keyed, "__row", text_col, shingle), "fingerprints", "slim"), "__row", distance)
     kept = written(kept.where(F.col("__row") == F.col("component_id")).select(F.col("__row.uid").alias("__kept")), "kept")
     # A merge join at every size: a broadcast of what stays would not scale with it.
     return uid.join(kept.hint("merge"), F.col("__uid") == F.col("__kept"), "left_semi").select(*docs.columns)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from onomast.llm.files import create, dealt, listing, read_range
+from onomast.llm.files import create, dealt, listing, read_range, sliced
 from onomast.sources.scratch import scratch, written
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -58,7 +58,7 @@ def write(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
 
     def run(batches):
         out, name, ordinal = None, "", 0
-        for batch in batches:
+        for batch in sliced(batches):
             if out is None:
                 name = uuid.uuid4().hex
                 out, own = create(f"{folder}/files/{name}.tokens"), encoder(ranks.value, vocabulary)
@@ -75,7 +75,7 @@ def write(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
 
     _make(spark, f"{folder}/files")
     manifest = docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, file string, ordinal long")
-    return f"{folder}/files", written(manifest, "token-manifest")
+    return f"{folder}/files", written(manifest, "token-manifest", "slim")
 
 
 def _make(spark: SparkSession, folder: str) -> None:
@@ -110,7 +110,7 @@ def scan(spark: SparkSession, folder: str, end: int = END, block_bytes: int = 8
                 )
 
     rows = dealt(blocks.select("path", "length", "block", "at")).mapInArrow(run, "path string, block int, number long, start long, stop long")
-    rows = written(rows, "separators")
+    rows = written(rows, "separators", "slim")
     over = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     carried = rows.where("number = -1").select(
         F.col("path").alias("bpath"),

@@ -100,7 +100,7 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
             yield pa.RecordBatch.from_pydict({"path": [path], "records": pa.array([records], pa.int64())})
 
     out = rows.select("page_id", "url", "html", "digest", refers.alias("refers_to")).mapInArrow(run, "path string, records long")
-    return written(out, "archives")
+    return written(out, "archives", "slim")
 
 
 _CHUNK_FIELDS = [
@@ -201,7 +201,7 @@ def records(archives: DataFrame, chunk_bytes: int = 1 << 20) -> DataFrame:
         "record_id", "record_type", "page_id", "url", "refers_to_id", "refers_to", "declared_digest",
         (F.col("start") + F.octet_length("data")).alias("size"), "digest",
     )
-    ends = written(ends, "records")
+    ends = written(ends, "records", "slim")
     full = ends.where("record_type = 'response'").groupBy(F.col("record_id").alias("origin"))
     full = full.agg(F.max("size").alias("full_size"), F.max("digest").alias("full_digest"))
     revisits = ends.where("record_type = 'revisit'").join(full, F.col("refers_to_id") == F.col("origin"), "left")
