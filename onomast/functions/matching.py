@@ -6,9 +6,12 @@ and names with initials only.  The kernel sees the pairs that remain.
 
 from __future__ import annotations
 
+import json
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,47 +31,83 @@ class _Record(NamedTuple):
 _FIELDS = ("given_words", "surname_words", "initials", "given_initial_spans", "generation", "surname_key")
 
 
-def _records(rows: pa.StructArray) -> list[_Record | None]:
+def _records(rows: pa.StructArray) -> list[_Record]:
     columns = [rows.field(f).to_pylist() for f in _FIELDS]
-    valid = rows.is_valid().to_pylist()
-    return [
-        _Record(g, s, i, [(x["start"], x["end"]) for x in spans], gen, key) if ok else None
-        for ok, g, s, i, spans, gen, key in zip(valid, *columns, strict=True)
-    ]
+    return [_Record(g, s, i, [(x["start"], x["end"]) for x in spans], gen, key) for g, s, i, spans, gen, key in zip(*columns, strict=True)]
 
 
-def _needed(p: Column) -> Column:
-    return F.struct(*[p[f].alias(f) for f in _FIELDS])
+def _verdicts(left: list, right: list, there: np.ndarray) -> pa.Array:
+    """The predicate on pairs of records; null where ``there`` is false."""
+    from onomast.kernel.match import consistent
+
+    out = np.zeros(len(there), dtype=bool)
+    out[there] = [consistent(x, y) for x, y in zip(left, right, strict=True)]
+    return pa.array(out, mask=~there)
+
+
+def agree_batch(left: pa.StructArray, right: pa.StructArray) -> pa.Array:
+    """The predicate on two columns of records, null where either is null."""
+    there = pc.and_(left.is_valid(), right.is_valid())
+    at = pc.indices_nonzero(there)
+    return _verdicts(_records(left.take(at)), _records(right.take(at)), there.to_numpy(zero_copy_only=False))
+
+
+def agree_packed(left: pa.StringArray, right: pa.StringArray) -> pa.Array:
+    """As ``agree_batch``, on packed records; each distinct one is unpacked once."""
+    there = pc.and_(left.is_valid(), right.is_valid()).to_numpy(zero_copy_only=False)
+    sides = []
+    for side in (left, right):
+        coded = side.dictionary_encode()
+        known = [_unpacked(text) for text in coded.dictionary.to_pylist()]
+        sides.append([known[i] for i in pc.fill_null(coded.indices, 0).to_numpy()[there]])
+    return _verdicts(*sides, there)
+
+
+def packed(p: Column) -> Column:
+    """What the kernel needs of a record, as one string (null for no record)."""
+    return F.when(p.isNotNull(), F.to_json(F.struct(*[p[f].alias(f) for f in _FIELDS])))
+
+
+def _unpacked(text: str) -> _Record:
+    r = json.loads(text)
+    spans = [(x["start"], x["end"]) for x in r["given_initial_spans"]]
+    return _Record(r["given_words"], r["surname_words"], r["initials"], spans, r.get("generation"), r["surname_key"])
+
+
+def features(p: Column) -> Column:
+    """What native expressions compare, worked out once per record: the key, the
+    generation, a plain surname, a lone ASCII initial, and whether a given name is known."""
+    words, initials = p["surname_words"], p["initials"]
+    plain = F.when((F.size(words) == 1) & words[0].rlike("^[A-Za-z]+$"), F.lower(words[0]))
+    return F.struct(
+        p["surname_key"].alias("key"),
+        p["generation"].alias("generation"),
+        plain.alias("surname"),
+        F.when(initials.rlike("^[A-Z]$"), initials).alias("initial"),
+        (F.size(p["given_words"]) > 0).alias("given"),
+    )
 
 
 def native_verdict(a: Column, b: Column) -> Column:
-    """True or false where native expressions can tell; null where the kernel must."""
-    word = r"^[A-Za-z]+$"
-    sa, sb = a["surname_words"], b["surname_words"]
-    plain = (F.size(sa) == 1) & (F.size(sb) == 1) & sa[0].rlike(word) & sb[0].rlike(word)
-    same_surname = F.lower(sa[0]) == F.lower(sb[0])
-    short = (F.length(a["initials"]) == 1) & (F.length(b["initials"]) == 1) & (F.size(a["given_words"]) * F.size(b["given_words"]) == 0)
-    short = short & a["initials"].rlike("^[A-Z]$") & b["initials"].rlike("^[A-Z]$")
+    """True or false where the features of two records can tell; null where the kernel must."""
     conflict = F.coalesce(a["generation"] != b["generation"], F.lit(False))
+    both_plain = a["surname"].isNotNull() & b["surname"].isNotNull()
+    lone = a["initial"].isNotNull() & b["initial"].isNotNull() & ~(a["given"] & b["given"])
     return (
-        F.when(a.isNull() | b.isNull(), F.lit(False))
-        .when((a["surname_key"] != b["surname_key"]) | conflict, F.lit(False))
-        .when(plain & ~same_surname, F.lit(False))
-        .when(short & (a["initials"] != b["initials"]), F.lit(False))
-        .when(short & plain, F.lit(True))
+        F.when(a["key"].isNull() | b["key"].isNull() | (a["key"] != b["key"]) | conflict, F.lit(False))
+        .when(both_plain & (a["surname"] != b["surname"]), F.lit(False))
+        .when(lone & (a["initial"] != b["initial"]), F.lit(False))
+        .when(lone & both_plain, F.lit(True))
     )
 
 
 def kernel_verdict(a: Column, b: Column) -> Column:
-    """The predicate by the kernel alone; null if either side is null."""
+    """The predicate by the kernel alone, on packed records; null if either side is null."""
     shared = shared_table()
 
     def kernel(left: pa.Array, right: pa.Array) -> pa.Array:
-        from onomast.kernel.match import consistent
-
         ready(shared)
-        pairs = zip(_records(left), _records(right), strict=True)
-        return pa.array([None if x is None or y is None else consistent(x, y) for x, y in pairs], pa.bool_())
+        return agree_packed(left, right)
 
     return F.arrow_udf(kernel, "boolean")(a, b)
 
@@ -76,8 +115,8 @@ def kernel_verdict(a: Column, b: Column) -> Column:
 def names_consistent(a: str | Column, b: str | Column) -> Column:
     """Whether two records may be of one person; false if either is null."""
     a, b = _col(a), _col(b)
-    native = native_verdict(a, b)
-    left, right = (F.when(native.isNull(), _needed(p)) for p in (a, b))
+    native = native_verdict(features(a), features(b))
+    left, right = (F.when(native.isNull(), packed(p)) for p in (a, b))
     return F.coalesce(native, kernel_verdict(left, right), F.lit(False))
 
 

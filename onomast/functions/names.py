@@ -48,16 +48,17 @@ def _col(c: str | Column) -> Column:
 
 
 def parse_batch(texts: pa.Array) -> pa.Array:
-    """The records of a column of texts; equal texts of a batch are parsed once."""
+    """The records of a column of texts; equal texts of a batch are parsed once and
+    their records are spread over the rows by Arrow."""
     from onomast.kernel.parse import parse
 
     coded = texts.dictionary_encode()
     known = [parse(t) for t in coded.dictionary.to_pylist()]
-    rows = [known[i] if i is not None else None for i in coded.indices.to_pylist()]
-    columns = list(zip(*((r if r is not None else (None,) * len(_ARROW)) for r in rows), strict=True)) or [()] * len(_ARROW)
+    columns = list(zip(*((r if r is not None else (None,) * len(_ARROW)) for r in known), strict=True)) or [()] * len(_ARROW)
     spans = [None if s is None else [{"start": a, "end": b} for a, b in s] for s in columns[3]]
     arrays = [pa.array(spans if k == 3 else columns[k], type=t) for k, (_, t) in enumerate(_ARROW)]
-    return pa.StructArray.from_arrays(arrays, names=[n for n, _ in _ARROW], mask=pa.array([r is None for r in rows], pa.bool_()))
+    records = pa.StructArray.from_arrays(arrays, names=[n for n, _ in _ARROW], mask=pa.array([r is None for r in known], pa.bool_()))
+    return records.take(coded.indices)
 
 
 # Plain forms: capitalised ASCII words with a vowel, and single letters that are no
@@ -74,12 +75,16 @@ _NOT_MIDDLE = sorted(SURNAME_PREFIXES)
 _NOT_LAST = sorted({*GENERATION_FORMS, *SUFFIXES})
 
 
-def _natively(text: Column) -> tuple[Column, Column]:
-    """(whether native expressions can tell, the record if so)."""
-    parts = F.split(text, "[ ,.]+")
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _shape(text: Column, parts: Column) -> Column:
+    """Which plain form a text has, 0 for none."""
     one, two, three = (F.try_element_at(parts, F.lit(i)) for i in (1, 2, 3))
     in_order = ~one.isin(_NOT_FIRST) & ~three.isin(_NOT_LAST)
-    shape = (
+    return (
         F.when(text.rlike(_TWO), 1)
         .when(text.rlike(_INITIAL) & in_order, 2)
         .when(text.rlike(_THREE) & in_order & ~two.isin(_NOT_MIDDLE), 3)
@@ -87,29 +92,54 @@ def _natively(text: Column) -> tuple[Column, Column]:
         .when(text.rlike(_SORTED_INITIAL) & ~two.isin(_NOT_FIRST), 5)
         .otherwise(0)
     )
-    given = F.when(shape >= 4, two).otherwise(one)
-    last = F.when(shape >= 4, one).when(shape == 1, two).otherwise(three)
+
+
+def _shaped(text: Column) -> Column:
+    parts = F.split(text, "[ ,.]+")
+    return F.struct(text.alias("text"), parts.alias("parts"), _shape(text, parts).alias("shape"))
+
+
+def _words(s: Column) -> Column:
+    """Given name, surname, middle initial, second given name and display of a plain form."""
+    shape = s["shape"]
+    one, two, three = (F.try_element_at(s["parts"], F.lit(i)) for i in (1, 2, 3))
     letter = F.when(shape.isin(2, 3), F.substring(two, 1, 1)).when(shape == 5, F.substring(three, 1, 1)).otherwise("")
-    shown = (
-        F.when(shape.isin(1, 3), text)
-        .when(shape == 4, F.concat(given, F.lit(" "), last))
-        .otherwise(F.concat(given, F.lit(" "), letter, F.lit(". "), last))
+    return F.struct(
+        F.when(shape >= 4, two).otherwise(one).alias("given"),
+        F.when(shape >= 4, one).when(shape == 1, two).otherwise(three).alias("last"),
+        letter.alias("letter"),
+        F.when(shape == 3, two).alias("middle"),
+        F.when(shape.isin(1, 3), s["text"]).alias("shown"),
     )
+
+
+def _record(w: Column) -> Column:
     none = F.lit(None).cast("string")
     first_span = F.struct(F.lit(0).alias("start"), F.lit(1).alias("end"))
     second_span = F.struct(F.lit(1).alias("start"), F.lit(2).alias("end"))
-    record = F.struct(
-        F.when(shape == 3, F.array(given, two)).otherwise(F.array(given)).alias("given_words"),
-        F.array(last).alias("surname_words"),
-        F.concat(F.substring(given, 1, 1), letter).alias("initials"),
-        F.when(shape == 3, F.array(first_span, second_span)).otherwise(F.array(first_span)).alias("given_initial_spans"),
-        shown.alias("display_name"),
+    letter = F.when(w["letter"] == "", F.lit("")).otherwise(F.concat(w["letter"], F.lit(". ")))
+    return F.struct(
+        F.array_compact(F.array(w["given"], w["middle"])).alias("given_words"),
+        F.array(w["last"]).alias("surname_words"),
+        F.concat(F.substring(w["given"], 1, 1), w["letter"]).alias("initials"),
+        F.when(w["middle"].isNull(), F.array(first_span)).otherwise(F.array(first_span, second_span)).alias("given_initial_spans"),
+        F.coalesce(w["shown"], F.concat(w["given"], F.lit(" "), letter, w["last"])).alias("display_name"),
         F.lit(None).cast("int").alias("generation"),
         none.alias("honorific_prefix"),
         none.alias("honorific_suffix"),
-        F.reverse(F.lower(F.right(last, F.lit(4)))).alias("surname_key"),
+        F.reverse(F.lower(F.right(w["last"], F.lit(4)))).alias("surname_key"),
     )
-    return F.coalesce(shape > 0, F.lit(False)), record
+
+
+def _native_record(text: Column) -> Column:
+    """The record of a plain form, null for other texts."""
+    found = lambda s: F.when(s["shape"] > 0, _let(_words(s), _record))
+    return _let(text, lambda t: _let(_shaped(t), found))
+
+
+def _not_plain(text: Column) -> Column:
+    """The text unless it is a plain form."""
+    return _let(text, lambda t: _let(_shaped(t), lambda s: F.when(s["shape"] == 0, s["text"])))
 
 
 def parse_name(text: str | Column, fast: bool = True) -> Column:
@@ -121,11 +151,10 @@ def parse_name(text: str | Column, fast: bool = True) -> Column:
         ready(shared)
         return parse_batch(texts)
 
-    udf = F.arrow_udf(kernel, NAME_SCHEMA)
-    if not fast:
-        return udf(text)
-    simple, record = _natively(text)
-    return F.when(simple, record).otherwise(udf(F.when(~simple, text)))
+    # Called nondeterministic so that a filter on the record is not pushed below it,
+    # which would run the kernel twice.
+    udf = F.arrow_udf(kernel, NAME_SCHEMA).asNondeterministic()
+    return F.coalesce(_native_record(text), udf(_not_plain(text))) if fast else udf(text)
 
 
 # --- accessors ------------------------------------------------------------------------

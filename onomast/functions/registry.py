@@ -7,10 +7,11 @@ Catalyst inlines them like any expression.
 from __future__ import annotations
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from onomast.functions.matching import _records
+from onomast.functions.matching import agree_batch
 from onomast.functions.names import NAME_SCHEMA, parse_batch
 from onomast.functions.worker import ready, shared_table
 
@@ -51,11 +52,8 @@ def register(spark: SparkSession) -> list[str]:
         return parse_batch(texts)
 
     def agree(left: pa.Array, right: pa.Array) -> pa.Array:
-        from onomast.kernel.match import consistent
-
         ready(shared)
-        pairs = zip(_records(left), _records(right), strict=True)
-        return pa.array([x is not None and y is not None and consistent(x, y) for x, y in pairs], pa.bool_())
+        return pc.fill_null(agree_batch(left, right), False)
 
     def alike(left: pa.Array, right: pa.Array) -> pa.Array:
         from onomast.kernel.match import given_alike

@@ -12,21 +12,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from onomast.functions.matching import _needed, kernel_verdict, names_consistent, native_verdict
+from onomast.functions.matching import features, kernel_verdict, names_consistent, native_verdict, packed
 from onomast.functions.names import parse_name
 
 
 def _side(df: DataFrame, id_col: str, p: str, tag: str) -> DataFrame:
     some = df.where(F.col(p).isNotNull())
-    return some.select(F.col(id_col).alias(f"{tag}_id"), _needed(F.col(p)).alias(f"{tag}_p"), F.col(p)["surname_key"].alias(f"{tag}_key"))
+    return some.select(F.col(id_col).alias(f"{tag}_id"), packed(F.col(p)).alias(f"{tag}_p"), features(F.col(p)).alias(f"{tag}_f"))
 
 
 def candidates(left: DataFrame, right: DataFrame, left_id: str, right_id: str, p: str = "p", also: Column | None = None) -> DataFrame:
-    """Pairs of one surname key that no native conjunct rules out: ids, records and
+    """Pairs of one surname key that no native conjunct rules out: ids, packed records and
     ``verdict``, true where natives alone are sure."""
     a, b = _side(left, left_id, p, "left"), _side(right, right_id, p, "right")
-    on = F.col("left_key") == F.col("right_key")
-    verdict = native_verdict(F.col("left_p"), F.col("right_p"))
+    on = F.col("left_f")["key"] == F.col("right_f")["key"]
+    verdict = native_verdict(F.col("left_f"), F.col("right_f"))
     on = on & F.coalesce(verdict, F.lit(True))
     if also is not None:
         on = on & also

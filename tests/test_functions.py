@@ -64,7 +64,7 @@ def test_sql_functions(spark, names):
 def test_native_verdict_equals_kernel(names):
     a, b = names.select(F.col("p").alias("a")), names.select(F.col("p").alias("b"))
     pairs = a.join(b, F.lit(True))
-    both = pairs.select(N.names_consistent("a", "b").alias("x"), F.expr("true"), F.coalesce(N.matching.kernel_verdict(F.col("a"), F.col("b")), F.lit(False)).alias("y"))
+    both = pairs.select(N.names_consistent("a", "b").alias("x"), F.expr("true"), F.coalesce(N.matching.kernel_verdict(*(N.matching.packed(F.col(c)) for c in "ab")), F.lit(False)).alias("y"))
     assert both.where("x <> y").count() == 0 and both.where("x").count() > len(TEXTS) - 4
 
 
