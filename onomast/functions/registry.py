@@ -37,6 +37,7 @@ ACCESSORS = {
     "name_display_first_last": ("STRING", f"coalesce(concat({_GIVEN}, ' ', {_SURNAME}), concat({_FIRST}, '. ', {_SURNAME}))"),
     "name_display_initial_surname": ("STRING", f"concat({_FIRST}, '. ', {_SURNAME})"),
     "name_display_full": ("STRING", _FULL),
+    "name_display_full_with_honorifics": ("STRING", f"if(p is null, null, concat_ws(' ', p.honorific_prefix, {_FULL}, p.honorific_suffix))"),
     "name_byte_len": ("INT", f"octet_length({_FULL})"),
     "surname_key": ("STRING", "p.surname_key"),
     "surname_hash": ("BIGINT", "xxhash64(p.surname_key)"),

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from onomast import functions as N
+from onomast.functions import text as T
 from onomast.operators import block_sizes, dedupe, match_join, match_pairs, name_tokens, parse_stats, probe, surname_frequency
 from onomast.plans.ingredients import parsed_names, raw_names, sql
 from onomast.sources import records_as_lines
@@ -467,6 +468,64 @@ def dedupe_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe(rows, "k", "components").select("k")
 
 
+# --- words and characters ----------------------------------------------------------------------
+
+_WORD_FORMS = "CASE {k} % 5 WHEN 0 THEN {given} WHEN 1 THEN upper({surname}) WHEN 2 THEN 'Ng' WHEN 3 THEN 'j.r.' ELSE lower({middle}) END"
+
+
+@_query(
+    "text_predicates",
+    sql(
+        "SELECT k, NOT regexp_matches(w, '[aeiouyAEIOUY]') AS vowelless, regexp_matches(w, '^[b-df-hj-np-tv-zB-DF-HJ-NP-TV-Z]') AS consonant, "
+        "upper(substr(w, 1, 1)) = substr(w, 1, 1) AS upper, regexp_matches(w, '[A-Za-z]{2}') AS adjacent, w <> upper(w) AND w <> lower(w) AS mixed, "
+        "CAST(length(regexp_replace(w, '[^A-Za-z]', '', 'g')) AS INTEGER) AS letters FROM (SELECT c_custkey AS k, " + _WORD_FORMS + " AS w FROM customer)"
+    ),
+)
+def text_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = raw_names(spark, sf_dir, _WORD_FORMS)
+    return rows.select(
+        "k", T.vowelless("raw").alias("vowelless"), T.starts_with_consonant("raw").alias("consonant"), T.starts_with_uppercase("raw").alias("upper"),
+        T.adjacent_letters("raw").alias("adjacent"), T.mixed_case("raw").alias("mixed"), T.letter_count("raw").alias("letters"),
+    )
+
+
+@_query("fold_alike", "SELECT c_custkey AS k, c_custkey % 3 <> 2 AS prefix, c_custkey % 3 <> 1 AS suffix FROM customer")
+def fold_alike(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Case and punctuation do not count when texts are compared from either end."""
+    rows = raw_names(spark, sf_dir, "CASE {k} % 3 WHEN 0 THEN upper({surname}) WHEN 1 THEN {surname} || '-Q' ELSE 'Q-' || {surname} END")
+    both = rows.join(raw_names(spark, sf_dir, "{surname}").withColumnRenamed("raw", "other"), "k")
+    return both.select("k", T.prefix_alike("raw", "other").alias("prefix"), T.suffix_alike("raw", "other").alias("suffix"))
+
+
+#: raw, without nickname, capitalised
+_CASES = [
+    ("x (y) z", "x z", "X (Y) Z"), ("x 'y' z", "x z", "X 'Y' Z"), ("o'neil", "o'neil", "O'Neil"), ("anne-marie", "anne-marie", "Anne-Marie"),
+    ("MCKAY", "MCKAY", "Mckay"),
+]
+#: raw, its ASCII letters, its first one
+_FOLDS = [
+    ("Straße", "strasse", "S"), ("Žižka", "zizka", "Z"), ("Γαλήνη", "galene", "G"), ("Щербина", "shcherbina", "S"), ("鄭", "zheng", "Z"),
+    ("O'Neil", "oneil", "O"), ("12", None, None),
+]
+
+
+@_query("text_kernels", "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(_literal, r)) + ")" for r in _CASES) + ") AS t(raw, bare, capital)")
+def text_kernels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(r[0],) for r in _CASES], "raw string")
+    return rows.select("raw", T.without_nickname("raw").alias("bare"), T.capitalised("raw").alias("capital"))
+
+
+@_query("ascii_folds", "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(_literal, r)) + ")" for r in _FOLDS) + ") AS t(raw, letters, initial)")
+def ascii_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(r[0],) for r in _FOLDS], "raw string")
+    return rows.select("raw", T.ascii_letters("raw").alias("letters"), T.ascii_initial("raw").alias("initial"))
+
+
+@_query("name_cased_mac", sql("SELECT c_custkey AS k, {mac} AS cased FROM customer"))
+def name_cased_mac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raw_names(spark, sf_dir, "upper({mac})").select("k", T.name_cased("raw").alias("cased"))
+
+
 # --- SQL surface and streams --------------------------------------------------------------------
 
 
