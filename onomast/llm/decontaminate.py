@@ -108,11 +108,13 @@ def hits(words: list[bytes], searchers: list[WuManber], marks: bytearray, items:
             items.update(found)
 
 
-def _blocks(spark, items: DataFrame, id_col: str, text_col: str, window: int, block_words: int):
+def _blocks(items: DataFrame, id_col: str, text_col: str, window: int, block_words: int):
     """Item lists whose test strings hold at most ``block_words`` words each (or one item)."""
-    part = items.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).distinct()
+    part = items.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t"))
+    total = part.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     out, size = [], 0
-    for row in part.orderBy("i", "t").toLocalIterator():
+    # The driver takes one part of some 32 MB at a time; repeated items change nothing.
+    for row in part.repartition(1 + total // (32 << 20)).toLocalIterator():
         own = window * max(1, len(words_of(row.t)))
         if out and size + own > block_words:
             yield out
@@ -169,9 +171,8 @@ def search(
     No shuffle: documents stream past the tables of one pattern block at a time.
     A block is broadcast only under its bound of ``block_words`` words.
     """
-    spark = docs.sparkSession
     out, at = docs, docs.columns.index(text_col)
-    for k, block in enumerate(_blocks(spark, benchmark, item_col, item_text_col, window, block_words)):
+    for k, block in enumerate(_blocks(benchmark, item_col, item_text_col, window, block_words)):
         if k:
             out = written(out, "decontaminate", "all")
         out = _pass(out, at, build(block, window), k == 0)
