@@ -64,82 +64,48 @@ def parse_batch(texts: pa.Array) -> pa.Array:
 # Plain forms: capitalised ASCII words with a vowel, and single letters that are no
 # conjunction (E, Y).  In longer forms a word could be a title, credential or particle.
 _WORD = r"(?=[A-Za-z]*[AEIOUYaeiouy])[A-Z][a-z]+"
-_LETTER = r"[A-DF-XZ]\.?"
-_TWO = rf"^{_WORD} {_WORD}$"
-_INITIAL = rf"^{_WORD} {_LETTER} {_WORD}$"
-_THREE = rf"^(?=[A-Za-z]{{3}}){_WORD} {_WORD} {_WORD}$"
-_SORTED = rf"^{_WORD}, {_WORD}$"
-_SORTED_INITIAL = rf"^{_WORD}, {_WORD} {_LETTER}$"
+_LETTER = r"([A-DF-XZ])\.?"
+_FORMS = (
+    rf"({_WORD}) ({_WORD})",
+    rf"({_WORD}) {_LETTER} ({_WORD})",
+    rf"((?=[A-Za-z]{{3}}){_WORD}) ({_WORD}) ({_WORD})",
+    rf"({_WORD}), ({_WORD})",
+    rf"({_WORD}), ({_WORD}) {_LETTER}",
+)
+_PLAIN = f"^(?:{'|'.join(_FORMS)})$"
+_BETWEEN = "\u0001"
+#: given, second given, initial and surname, from whichever form matched
+_PARTS = _BETWEEN.join(("$1$3$6$10$12", "$7", "$4$13", "$2$5$8$9$11"))
 _NOT_FIRST = sorted(TITLES)
 _NOT_MIDDLE = sorted(SURNAME_PREFIXES)
 _NOT_LAST = sorted({*GENERATION_FORMS, *SUFFIXES})
 
 
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once, however often the body uses it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def _shape(text: Column, parts: Column) -> Column:
-    """Which plain form a text has, 0 for none."""
-    one, two, three = (F.try_element_at(parts, F.lit(i)) for i in (1, 2, 3))
-    in_order = ~one.isin(_NOT_FIRST) & ~three.isin(_NOT_LAST)
-    return (
-        F.when(text.rlike(_TWO), 1)
-        .when(text.rlike(_INITIAL) & in_order, 2)
-        .when(text.rlike(_THREE) & in_order & ~two.isin(_NOT_MIDDLE), 3)
-        .when(text.rlike(_SORTED), 4)
-        .when(text.rlike(_SORTED_INITIAL) & ~two.isin(_NOT_FIRST), 5)
-        .otherwise(0)
-    )
-
-
-def _shaped(text: Column) -> Column:
-    parts = F.split(text, "[ ,.]+")
-    return F.struct(text.alias("text"), parts.alias("parts"), _shape(text, parts).alias("shape"))
-
+def _natively(text: Column) -> tuple[Column, Column]:
+    """(whether a text has a plain form, the record if so).
 
-def _words(s: Column) -> Column:
-    """Given name, surname, middle initial, second given name and display of a plain form."""
-    shape = s["shape"]
-    one, two, three = (F.try_element_at(s["parts"], F.lit(i)) for i in (1, 2, 3))
-    letter = F.when(shape.isin(2, 3), F.substring(two, 1, 1)).when(shape == 5, F.substring(three, 1, 1)).otherwise("")
-    return F.struct(
-        F.when(shape >= 4, two).otherwise(one).alias("given"),
-        F.when(shape >= 4, one).when(shape == 1, two).otherwise(three).alias("last"),
-        letter.alias("letter"),
-        F.when(shape == 3, two).alias("middle"),
-        F.when(shape.isin(1, 3), s["text"]).alias("shown"),
-    )
-
-
-def _record(w: Column) -> Column:
+    One regular expression both tells and takes apart; everything stays in generated code.
+    """
+    parts = F.regexp_replace(text, F.lit(_PLAIN), F.lit(_PARTS))
+    given, second, letter, last = (F.split_part(parts, F.lit(_BETWEEN), F.lit(i)) for i in (1, 2, 3, 4))
+    short = (second == "") & (letter == "")
+    ordinary = ~given.isin(_NOT_FIRST) & ~second.isin(_NOT_MIDDLE) & ~last.isin(_NOT_LAST)
+    plain = (parts != text) & (short | ordinary)
     none = F.lit(None).cast("string")
     first_span = F.struct(F.lit(0).alias("start"), F.lit(1).alias("end"))
     second_span = F.struct(F.lit(1).alias("start"), F.lit(2).alias("end"))
-    letter = F.when(w["letter"] == "", F.lit("")).otherwise(F.concat(w["letter"], F.lit(". ")))
-    return F.struct(
-        F.array_compact(F.array(w["given"], w["middle"])).alias("given_words"),
-        F.array(w["last"]).alias("surname_words"),
-        F.concat(F.substring(w["given"], 1, 1), w["letter"]).alias("initials"),
-        F.when(w["middle"].isNull(), F.array(first_span)).otherwise(F.array(first_span, second_span)).alias("given_initial_spans"),
-        F.coalesce(w["shown"], F.concat(w["given"], F.lit(" "), letter, w["last"])).alias("display_name"),
+    record = F.struct(
+        F.when(second == "", F.array(given)).otherwise(F.array(given, second)).alias("given_words"),
+        F.array(last).alias("surname_words"),
+        F.concat(F.substring(given, 1, 1), F.substring(second, 1, 1), letter).alias("initials"),
+        F.when(second == "", F.array(first_span)).otherwise(F.array(first_span, second_span)).alias("given_initial_spans"),
+        F.concat_ws(" ", given, F.nullif(second, F.lit("")), F.when(letter != "", F.concat(letter, F.lit("."))), last).alias("display_name"),
         F.lit(None).cast("int").alias("generation"),
         none.alias("honorific_prefix"),
         none.alias("honorific_suffix"),
-        F.reverse(F.lower(F.right(w["last"], F.lit(4)))).alias("surname_key"),
+        F.reverse(F.lower(F.right(last, F.lit(4)))).alias("surname_key"),
     )
-
-
-def _native_record(text: Column) -> Column:
-    """The record of a plain form, null for other texts."""
-    found = lambda s: F.when(s["shape"] > 0, _let(_words(s), _record))
-    return _let(text, lambda t: _let(_shaped(t), found))
-
-
-def _not_plain(text: Column) -> Column:
-    """The text unless it is a plain form."""
-    return _let(text, lambda t: _let(_shaped(t), lambda s: F.when(s["shape"] == 0, s["text"])))
+    return F.coalesce(plain, F.lit(False)), record
 
 
 def parse_name(text: str | Column, fast: bool = True) -> Column:
@@ -152,9 +118,12 @@ def parse_name(text: str | Column, fast: bool = True) -> Column:
         return parse_batch(texts)
 
     # Called nondeterministic so that a filter on the record is not pushed below it,
-    # which would run the kernel twice.
+    # which would run the kernel or the regular expression again.
     udf = F.arrow_udf(kernel, NAME_SCHEMA).asNondeterministic()
-    return F.coalesce(_native_record(text), udf(_not_plain(text))) if fast else udf(text)
+    if not fast:
+        return udf(text)
+    plain, record = _natively(text)
+    return F.coalesce(F.when(plain & (F.rand(0) + 1 > 0), record), udf(F.when(~plain, text)))
 
 
 # --- accessors ------------------------------------------------------------------------
