@@ -7,6 +7,7 @@ it unset (tests, local runs) is one chosen here.
 from __future__ import annotations
 
 import atexit
+import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -69,6 +70,9 @@ def written(df: DataFrame, label: str, rows: str = "few") -> DataFrame:
 @atexit.register
 def _tidy() -> None:
     for spark, path in _made:
+        if path.startswith("file:"):
+            shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
+            continue
         try:
             drop(spark, path)
         except Exception:  # the session has ended; the folder's owner cleans up
