@@ -5,14 +5,15 @@ pages is many blocks.  In a block every element path's opening and closing tag i
 a token with an occurrence vector (its count in each page).  Tokens that share a
 vector are an equivalence class; a class is valid if its tokens come in one order
 in all pages, and valid classes nest where each occurrence of one lies in a single
-slot of another.  The slots between template tokens hold the pages' data.  Slots
+slot of another.  Classes that do not nest are no part of
+the template.  The slots between template tokens hold the pages' data.  Slots
 under elements whose names mark page furniture are dropped; the main element is
 the one that pages mark as their article, or else the innermost element of the
 template that encloses nearly all remaining slot text.
 
 Text of a slot is never cut: only whole slots are kept or dropped.  Outside a
 marked article, text that all pages of a block repeat under one path is template
-as well.
+as well, unless nothing else is left of a page.
 
 Defined results: null or empty pages have empty text; a null url is a host of its
 own; repeated rows are extracted alike; an empty table gives an empty result;
@@ -79,8 +80,8 @@ class Template:
         self.main = self._main(pages)
 
     def _nest(self, sequences) -> dict[int, tuple[int, str] | None]:
-        """For each class the token of another class after which all of its
-        occurrences begin: the slot it nests in; None where there is no single one."""
+        """For each class that nests, the opening token whose slot holds all of its
+        occurrences; None for what is outermost.  Classes found in several slots are absent."""
         slots: dict[int, set[tuple[int, str] | None]] = defaultdict(set)
         firsts = {k: tokens[0] for k, tokens in enumerate(self.classes)}
         for sequence in sequences:
@@ -93,7 +94,7 @@ class Template:
                     inside.append(token)
                 elif inside:
                     inside.pop()
-        return {k: next(iter(s)) if len(s) == 1 else None for k, s in slots.items()}
+        return {k: next(iter(s)) for k, s in slots.items() if len(s) == 1}
 
     def _repeated(self, pages) -> set[tuple[str, str]]:
         """(path, text) in every one of at least four pages."""
@@ -117,7 +118,7 @@ class Template:
             parts = path.split("/")
             for k in range(2, len(parts) + 1):
                 around["/".join(parts[:k])] += size
-        known = {path for _, path in self.of}
+        known = {path for (_, path), k in self.of.items() if k in self.parents}
         fit = [p for p, size in around.items() if size >= 0.9 * total and p in known and p.rsplit("/", 1)[-1].split(".")[0] in ("body", "div", "section", "main", "article", "td")]
         return max(fit, key=lambda p: p.count("/"), default="")
 
@@ -137,8 +138,8 @@ def slots_of(page: list[Event]):
             yield next((e.path for e in reversed(stack) if e.tag not in INLINE), ""), what, dropped > 0
 
 
-def main_text(page: list[Event], template: Template) -> str:
-    """The kept slots of a page as blocks."""
+def main_text(page: list[Event], template: Template, constant: bool = False) -> str:
+    """The kept slots of a page as blocks; ``constant`` keeps text of the template too."""
     marked = _has_article(page)
     blocks: list[str] = []
     now: list[str] = []
@@ -160,7 +161,7 @@ def main_text(page: list[Event], template: Template) -> str:
         if kind == TEXT:
             if not dropped and (inside or not (marked or within)):
                 path = next((e.path for e in reversed(stack) if e.tag not in INLINE), "")
-                if marked or (path, " ".join(what.split())) not in template.fixed:
+                if marked or constant or (path, " ".join(what.split())) not in template.fixed:
                     now.append(what)
         elif kind == SPACE:
             now.append("\n")
@@ -194,7 +195,8 @@ def extract(pages: list[str | None]) -> list[str]:
     """The main texts of one block of same-host pages."""
     parsed = [list(events(p or "")) for p in pages]
     template = Template(parsed)
-    return [main_text(p, template) for p in parsed]
+    # Pages that are nothing but template are copies of each other: their text stays.
+    return [main_text(p, template) or main_text(p, template, True) for p in parsed]
 
 
 def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", block_pages: int = 64) -> DataFrame:

@@ -156,6 +156,14 @@ def test_main_text_without_article():
     assert template.extract(pages) == [f"Title nr{i}\n\nBody nr{i} text\n\nMore nr{i}" for i in range(6)]
 
 
+def test_copies_without_article_keep_their_text():
+    page = "<html><body><nav>n</nav><div><p>Same words here<p>and here</div></body></html>"
+    assert template.extract([page] * 6) == ["Same words here\n\nand here"] * 6
+    # ... and a single constant line among varying ones is template
+    pages = [f"<html><body><div><p>Text {i} of a page<p>Read more</div></body></html>" for i in range(6)]
+    assert template.extract(pages) == [f"Text {i} of a page" for i in range(6)]
+
+
 def test_classes_and_order():
     from onomast.llm.htmltext import events
 
