@@ -5,8 +5,9 @@ Consistency is not transitive, so "the same person" needs a policy:
 * ``first``: a row stays unless an earlier row (smaller id) is consistent with it;
 * ``components``: of each connected component of consistent pairs the smallest id stays.
 
-Both are joins on surname keys; no block is gathered in one task.  Rows without a
-name stay.
+Equal records are one before any pairing; pairs of different records are joined on
+surname keys, and no block is gathered in one task.  (A record that is not even
+consistent with itself does not link its copies.)  Rows without a name stay.
 """
 
 from __future__ import annotations
@@ -14,16 +15,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from onomast.functions.matching import features, kernel_verdict, native_verdict, packed
 from onomast.operators.components import components
-from onomast.operators.match_join import self_pairs
+from onomast.sources.scratch import written
+
+
+def _records(df: DataFrame, id_col: str, p: str) -> DataFrame:
+    """(record, f, first, own) of each different record: its smallest id, and that id
+    again if the record is consistent with itself."""
+    rows = df.where(F.col(p).isNotNull()).select(F.col(id_col).alias("id"), packed(F.col(p)).alias("record"), features(F.col(p)).alias("f"))
+    one = rows.groupBy("record", "f").agg(F.min("id").alias("first"))
+    return written(one.withColumn("own", F.when(kernel_verdict(F.col("record"), F.col("record")), F.col("first"))), "records")
+
+
+def _links(records: DataFrame) -> DataFrame:
+    """(a, b): first ids of consistent records, a < b."""
+    left = records.select(F.col("first").alias("a"), F.col("record").alias("ra"), F.col("f").alias("fa"))
+    right = records.select(F.col("first").alias("b"), F.col("record").alias("rb"), F.col("f").alias("fb"))
+    verdict = native_verdict(F.col("fa"), F.col("fb"))
+    on = (F.col("fa")["key"] == F.col("fb")["key"]) & (F.col("a") < F.col("b")) & F.coalesce(verdict, F.lit(True))
+    some = left.join(right, on).withColumn("verdict", verdict)
+    unsure = F.col("verdict").isNull()
+    sure = F.coalesce("verdict", kernel_verdict(*(F.when(unsure, F.col(c)) for c in ("ra", "rb"))))
+    return written(some.where(sure).select("a", "b"), "links")
 
 
 def dedupe(df: DataFrame, id_col: str, policy: str = "first", p: str = "p") -> DataFrame:
-    pairs = self_pairs(df, id_col, p)
+    """The rows of ``df`` that stay under a policy; ids must be unique."""
+    if policy not in ("first", "components"):
+        raise ValueError(f"unknown policy: {policy}")
+    records = _records(df, id_col, p)
+    links = _links(records)
     if policy == "first":
-        gone = pairs.select(F.col("right_id").alias("gone")).distinct()
-    elif policy == "components":
-        gone = components(pairs.select(F.col("left_id").alias("a"), F.col("right_id").alias("b"))).select(F.col("node").alias("gone"))
+        near = links.union(links.select("b", "a")).groupBy("a").agg(F.min("b").alias("least"))
     else:
-        raise ValueError(f"unknown policy: {policy}")
-    return df.join(gone, df[id_col] == F.col("gone"), "left_anti")
+        roots = components(links).select(F.col("node").alias("a"), F.col("root").alias("least"))
+        near = roots.union(roots.select(F.col("least").alias("a"), "least").distinct())
+    bar = records.join(near, F.col("first") == F.col("a"), "left").select("record", F.least("own", "least").alias("bar"))
+    bar = bar.withColumnRenamed("record", "__record").withColumnRenamed("bar", "__bar")
+    # A row goes if a smaller id stands for it.
+    gone = F.coalesce(F.col("__bar") < F.col(id_col), F.lit(False))
+    keyed = df.withColumn("__key", packed(F.col(p)))
+    return keyed.join(bar, F.col("__key") == F.col("__record"), "left").where(~gone).select(*df.columns)

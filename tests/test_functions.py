@@ -102,6 +102,17 @@ def test_dedupe(spark):
     assert sorted(r.id for r in dedupe(rows, "id", "components").collect()) == [1, 4, 5]
 
 
+def test_dedupe_of_copies(spark):
+    odd = "Doe-Roe Jane Quinn Jane"  # not consistent with itself
+    texts = ["Jane Doe", "Jane Doe", odd, odd, "Jim Doe", "J. Doe", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, raw string").withColumn("p", N.parse_name("raw"))
+    for policy in ("first", "components"):
+        out = dedupe(rows, "id", policy)
+        assert sorted(r.id for r in out.collect()) == ([0, 2, 3, 4, 6] if policy == "first" else [0, 2, 3, 6]) and out.columns == rows.columns
+    with pytest.raises(ValueError):
+        dedupe(rows, "id", "other")
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(9, 8), (8, 7), (7, 1), (3, 2), (2, 3), (5, 5), (None, 1), (20, 21), (21, 22), (22, 9)], "a long, b long")
     got = {r.node: r.root for r in components(edges).collect()}
