@@ -7,13 +7,18 @@ vector are an equivalence class; a class is valid if its tokens come in one orde
 in all pages, and valid classes nest where each occurrence of one lies in a single
 slot of another.  Classes that do not nest are no part of
 the template.  The slots between template tokens hold the pages' data.  Slots
-under elements whose names mark page furniture are dropped; the main element is
-the one that pages mark as their article, or else the innermost element of the
-template that encloses nearly all remaining slot text.
-
-Text of a slot is never cut: only whole slots are kept or dropped.  Outside a
-marked article, text that all pages of a block repeat under one path is template
-as well, unless nothing else is left of a page.
+under elements whose names mark page furniture are dropped, and of a page that
+marks its article, slots outside it.
+
+A slot's text is a token too, known by path and text.  It is of the template, and
+dropped inside a marked article as well, where at least four pages and half of all
+have it and it is in one class with an element around it.  Only distinct pages
+count: a page that has over half of its text from a longer one is a copy, however
+often it is repeated.  In pages without a marked article the main element is the
+innermost one of the template around nearly all text, by one vote a page; outside
+it such repeated text is template without an element of its class, and all other
+text stays.  Text of a slot is never cut: only whole slots are kept or dropped.  A
+page of which nothing else is left keeps the template's text.
 
 Defined results: null or empty pages have empty text; a null url is a host of its
 own; repeated rows are extracted alike; an empty table gives an empty result;
@@ -32,17 +37,24 @@ from onomast.llm.htmltext import CLOSE, INLINE, OPEN, SPACE, TEXT, Element, even
 from onomast.sources.scratch import written
 
 Event = tuple[int, object]
+#: Path and text of what stands between two tags that are not inline.
+Slot = tuple[str, str]
 
 
-def occurrence_classes(pages: list[list[Event]]) -> list[list[tuple[int, str]]]:
-    """Equivalence classes: tag tokens with the same count in every page."""
+def occurrences(pages: list[list[Event]]) -> dict[tuple[int, str], list[int]]:
+    """Occurrence vector of each tag token: its count in every page."""
     vectors: dict[tuple[int, str], list[int]] = {}
     for k, page in enumerate(pages):
         for kind, what in page:
             if kind in (OPEN, CLOSE) and what.tag not in INLINE:
                 vectors.setdefault((kind, what.path), [0] * len(pages))[k] += 1
+    return vectors
+
+
+def occurrence_classes(pages: list[list[Event]]) -> list[list[tuple[int, str]]]:
+    """Equivalence classes: tag tokens with the same count in every page."""
     classes: dict[tuple[int, ...], list[tuple[int, str]]] = defaultdict(list)
-    for token, vector in vectors.items():
+    for token, vector in occurrences(pages).items():
         classes[tuple(vector)].append(token)
     return list(classes.values())
 
@@ -61,9 +73,13 @@ def ordered(tokens: set[tuple[int, str]], sequences: list[list[tuple[int, str]]]
 
 
 class Template:
-    """The valid classes of a block of pages and how they nest."""
+    """The valid classes of a block of pages and how they nest.  Pages that are for the
+    greater part copies of a longer one have no say."""
 
     def __init__(self, pages: list[list[Event]]):
+        slots = [open_slots(p) for p in pages]
+        distinct = _distinct(slots)
+        pages, slots = [pages[k] for k in distinct], [slots[k] for k in distinct]
         sequences = [[(kind, what.path) for kind, what in p if kind in (OPEN, CLOSE) and what.tag not in INLINE] for p in pages]
         self.classes: list[list[tuple[int, str]]] = []
         for tokens in occurrence_classes(pages):
@@ -76,8 +92,9 @@ class Template:
                 self.classes += by_path.values()
         self.of = {t: k for k, tokens in enumerate(self.classes) for t in tokens}
         self.parents = self._nest(sequences)
-        self.fixed = self._repeated(pages)
-        self.main = self._main(pages)
+        self.known = {""} | {path for (_, path), k in self.of.items() if k in self.parents}
+        self.often, self.fixed = self._texts(pages, slots)
+        self.main = self._main(slots)
 
     def _nest(self, sequences) -> dict[int, tuple[int, str] | None]:
         """For each class that nests, the opening token whose slot holds all of its
@@ -96,87 +113,99 @@ class Template:
                     inside.pop()
         return {k: next(iter(s)) for k, s in slots.items() if len(s) == 1}
 
-    def _repeated(self, pages) -> set[tuple[str, str]]:
-        """(path, text) in every one of at least four pages."""
-        if len(pages) < 4:
-            return set()
-        seen: Counter = Counter()
-        for page in pages:
-            seen.update({(path, " ".join(text.split())) for path, text, _ in slots_of(page) if not text.isspace()})
-        return {k for k, c in seen.items() if c == len(pages)}
-
-    def _main(self, pages) -> str:
-        """The path of the innermost template element around nearly all slot text."""
-        mass: Counter = Counter()
-        for page in pages:
-            for path, text, furniture in slots_of(page):
-                if not furniture and (path, " ".join(text.split())) not in self.fixed:
-                    mass[path] += len(text)
-        total = sum(mass.values())
+    def _texts(self, pages, slots) -> tuple[set[Slot], set[Slot]]:
+        """Texts that at least four pages and half of all repeat under one path, and
+        those of them in the class of an element around them."""
+        support = Counter(s for page in slots for s in set(page))
+        often = {s for s, c in support.items() if c >= 4 and 2 * c >= len(pages)}
+        vectors: dict[Slot, list[int]] = {s: [0] * len(pages) for s in often}
+        for k, page in enumerate(slots):
+            for s in page:
+                if s in often:
+                    vectors[s][k] += 1
+        tags = occurrences(pages)
+        tags[OPEN, ""] = [1] * len(pages)
+        fixed = {s for s, v in vectors.items() if any(p in self.known and tags[OPEN, p] == v for p in _around(s[0]))}
+        return often, fixed
+
+    def _main(self, slots) -> str:
+        """The path of the innermost template element around nearly all text of the
+        slots; each page has one vote, dealt out by the shares of its own text."""
         around: Counter = Counter()
-        for path, size in mass.items():
-            parts = path.split("/")
-            for k in range(2, len(parts) + 1):
-                around["/".join(parts[:k])] += size
-        known = {path for (_, path), k in self.of.items() if k in self.parents}
-        fit = [p for p, size in around.items() if size >= 0.9 * total and p in known and p.rsplit("/", 1)[-1].split(".")[0] in ("body", "div", "section", "main", "article", "td")]
+        votes = 0
+        for page in slots:
+            own = [(path, len(text)) for path, text in page if (path, text) not in self.fixed]
+            total = sum(n for _, n in own)
+            votes += total > 0
+            for path, n in own:
+                for p in _around(path):
+                    around[p] += n / total
+        fit = [p for p, share in around.items() if share >= 0.9 * votes and p in self.known and p.rsplit("/", 1)[-1].split(".")[0] in ("body", "div", "section", "main", "article", "td")]
         return max(fit, key=lambda p: p.count("/"), default="")
 
 
-def slots_of(page: list[Event]):
-    """(path, text, in furniture) of each text of a page."""
-    stack: list[Element] = []
-    dropped = 0
-    for kind, what in page:
-        if kind == OPEN:
-            stack.append(what)
-            dropped += what.furniture
-        elif kind == CLOSE:
-            stack.pop()
-            dropped -= what.furniture
-        elif kind == TEXT:
-            yield next((e.path for e in reversed(stack) if e.tag not in INLINE), ""), what, dropped > 0
+def _around(path: str) -> list[str]:
+    """The paths of the page and of all elements down to ``path``."""
+    parts = path.split("/")
+    return ["/".join(parts[:k]) for k in range(1, len(parts) + 1)]
 
 
-def main_text(page: list[Event], template: Template, constant: bool = False) -> str:
-    """The kept slots of a page as blocks; ``constant`` keeps text of the template too."""
+def _distinct(slots: list[list[Slot]]) -> list[int]:
+    """The pages with text less than half of which a longer page (or an earlier one) has too."""
+    sizes = [{s: len(s[1]) for s in page} for page in slots]
+    totals = [sum(size.values()) for size in sizes]
+    kept: list[int] = []
+    for k in sorted(range(len(slots)), key=lambda k: (-totals[k], k)):
+        own = sizes[k]
+        if own and not any(2 * sum(own[s] for s in own.keys() & sizes[j].keys()) > totals[k] for j in kept):
+            kept.append(k)
+    return sorted(kept)
+
+
+def open_slots(page: list[Event]) -> list[Slot]:
+    """(path, text) of each slot outside furniture; of a page that marks its article,
+    those inside it only."""
     marked = _has_article(page)
-    blocks: list[str] = []
+    slots: list[Slot] = []
     now: list[str] = []
-    stack: list[Element] = []
+    paths: list[str] = [""]
     dropped = inside = 0
-
-    def flush():
-        text = " ".join("".join(now).split())
-        if text:
-            blocks.append(text)
-        now.clear()
-
-    within = not marked and template.main and any(k == OPEN and w.path == template.main for k, w in page)
-
-    def holds(e: Element) -> bool:
-        return e.main if marked else not within or e.path == template.main
-
     for kind, what in page:
         if kind == TEXT:
-            if not dropped and (inside or not (marked or within)):
-                path = next((e.path for e in reversed(stack) if e.tag not in INLINE), "")
-                if marked or constant or (path, " ".join(what.split())) not in template.fixed:
-                    now.append(what)
+            if not dropped and (inside or not marked):
+                now.append(what)
         elif kind == SPACE:
             now.append("\n")
         else:
-            if what.tag not in INLINE:
-                flush()
+            block = what.tag not in INLINE
+            if block:
+                text = " ".join("".join(now).split())
+                if text:
+                    slots.append((paths[-1], text))
+                now.clear()
             step = 1 if kind == OPEN else -1
             dropped += step * what.furniture
-            inside += step * holds(what)
-            if kind == OPEN:
-                stack.append(what)
-            else:
-                stack.pop()
-    flush()
-    return "\n\n".join(blocks)
+            inside += step * what.main
+            if block and kind == OPEN:
+                paths.append(what.path)
+            elif block:
+                paths.pop()
+    text = " ".join("".join(now).split())
+    if text:
+        slots.append((paths[-1], text))
+    return slots
+
+
+def main_text(page: list[Event], template: Template, constant: bool = False) -> str:
+    """The kept slots of a page as blocks; ``constant`` keeps text of the template too."""
+    main = template.main
+    within = not _has_article(page) and main and any(k == OPEN and w.path == main for k, w in page)
+
+    def stays(slot: Slot) -> bool:
+        outside = within and slot[0] != main and not slot[0].startswith(main + "/")
+        return slot not in (template.often if outside else template.fixed)
+
+    return "\n\n".join(slot[1] for slot in open_slots(page) if constant or stays(slot))
 
 
 def _has_article(page: list[Event]) -> bool:

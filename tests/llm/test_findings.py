@@ -1,6 +1,7 @@
 """One test for each place where an operator once did less than its whole job."""
 
-from onomast.llm import quality
+from onomast.llm import quality, template
+from onomast.llm.htmltext import events
 
 
 def test_each_limit_of_the_suffix_array_rejects_by_itself():
@@ -19,3 +20,15 @@ def test_each_limit_of_the_suffix_array_rejects_by_itself():
     assert got["kept"] == list(cases.values())
     # the cases fail one limit alone as well as both
     assert 2 * 20 > 0.12 * 200 and 20 <= rules.max_longest and 2 * 101 <= 0.12 * 2000 and 101 > rules.max_longest
+
+
+def test_template_text_in_marked_articles_goes():
+    page = "<html><body><article><div class=x1>More from us</div><h1>Head {0}</h1><p>Some words {0} of the text<p>and more {0} of it</div></article></body></html>"
+    pages = [page.format(f"nr{i}" * 3) for i in range(8)]
+    assert template.extract(pages) == [f"Head {v}\n\nSome words {v} of the text\n\nand more {v} of it" for v in (f"nr{i}" * 3 for i in range(8))]
+
+
+def test_repeated_text_is_template_also_where_some_pages_lack_it():
+    menu = "<div class=x1><p>Start page</div>"
+    pages = [f"<html><body><main>{menu if i else ''}<p>Long enough text nr {i} {i * 7}</main></body></html>" for i in range(8)]
+    assert template.extract(pages) == [f"Long enough text nr {i} {i * 7}" for i in range(8)]
