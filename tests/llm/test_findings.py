@@ -32,3 +32,23 @@ def test_repeated_text_is_template_also_where_some_pages_lack_it():
     menu = "<div class=x1><p>Start page</div>"
     pages = [f"<html><body><main>{menu if i else ''}<p>Long enough text nr {i} {i * 7}</main></body></html>" for i in range(8)]
     assert template.extract(pages) == [f"Long enough text nr {i} {i * 7}" for i in range(8)]
+
+
+def test_blocks_outside_the_main_element_stay():
+    page = "<html><body><div class=top><h1>Headline {0}</h1></div><div class=content><p>{1}</div></body></html>"
+    pages = [page.format(i, f"word{i} " * 60) for i in range(6)]
+    assert template.extract(pages) == [f"Headline {i}\n\n{' '.join([f'word{i}'] * 60)}" for i in range(6)]
+
+
+def test_one_long_page_does_not_choose_the_main_element_for_all():
+    page = "<html><body><div class=content><p>{0}</div><div class=appendix><p>{1}</div></body></html>"
+    pages = [page.format(f"text{i} " * 20, f"note{i} " * (20_000 if i == 0 else 2)) for i in range(6)]
+    got = template.extract(pages)
+    assert all(g.startswith(f"text{i} ") and g.endswith(f"note{i}") for i, g in enumerate(got))
+    assert template.Template([list(events(p)) for p in pages]).main != "/html/body/div.appendix"
+
+
+def test_near_copies_without_article_keep_what_they_share():
+    page = "<html><body><div><p>A first paragraph that all of the pages share.<p>A second one that they share too.<p>Seen on day {0}</div></body></html>"
+    want = "A first paragraph that all of the pages share.\n\nA second one that they share too.\n\nSeen on day "
+    assert template.extract([page.format(i) for i in range(6)]) == [f"{want}{i}" for i in range(6)]
