@@ -1,8 +1,11 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame operations only.
 
 Base patterns find emails, IP addresses, card numbers (Luhn) and phone numbers.
-They seed the method: the two words before a base span are a lexical pattern, and
-any other word with a digit or an ``@`` that follows such words is a candidate.
+They seed the method: the words beside a base span are lexical patterns, two or one
+before it and two or one after it.  A candidate is any other word with a digit or an
+``@`` that such words are beside; numbers that follow a number are one candidate.
+A pattern of one word says more than one of two only if the word is found next to
+varying words: it needs base spans with ``support`` distinct words on its far side.
 Patterns and values form a graph.  Round by round a pattern's confidence in a kind
 is the mean score of the distinct values that follow it, and a value's score is
 1 - prod(1 - confidence) over its patterns of at least ``confident``; base values keep
@@ -29,13 +32,16 @@ from onomast.sources.scratch import written
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "A-Za-z0-9._%+-"
 _GAP = r"\x20\x09-\x0D"
+# A whole token of digits, no IP address.
+_NUMBER = rf"\(?+(?![0-9]++\.[0-9]++\.[0-9]++\.[0-9])[0-9][0-9()./-]*+(?![^{_GAP},;:!?])"
+_BESIDE = 120
 _REGEX = {
     "email": rf"(?:(?<![{_LOCAL}])|\G)[{_LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     # At least 16 digits: shorter runs are no cards, and a run's first digit is where it starts.
     "card": r"[0-9](?:[\x20-]?[0-9]){15,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "word": rf"(?<![^{_GAP}])[^{_GAP}0-9@]*+[0-9@][^{_GAP}]*+",
+    "word": rf"(?<![^{_GAP}])(?:{_NUMBER}(?:\x20{_NUMBER})*+|[^{_GAP}0-9@]*+[0-9@])[^{_GAP}]*+",
 }
 _NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+", "word": ""}
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
@@ -53,8 +59,9 @@ def _valid(kind: Column, value: Column) -> Column:
 
 
 def mentions(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(row, kind, start, end, value, left) of every match of every kind in ``docs``
-    (with the column ``row``); left ends where the match starts."""
+    """(row, kind, start, end, value, left, right) of every match of every kind in
+    ``docs`` (with the column ``row``); left ends where the match starts, right starts
+    where it ends, and both are text, whatever else matches in them."""
     text = F.col(text_col)
     some = docs.where(text.rlike("[0-9@]")).select("row", text.alias("text"))
     kinds = [
@@ -69,15 +76,21 @@ def mentions(docs: DataFrame, text_col: str = "text") -> DataFrame:
         for k, r in _REGEX.items()
     ]
     found = some.select("row", F.explode(F.array(*kinds)).alias("k")).where("size(k.matches) > 0")
-    pairs = F.arrays_zip(F.slice("k.pieces", F.lit(1), F.size("k.matches")).alias("piece"), F.col("k.matches").alias("match"))
+    pairs = F.arrays_zip(F.slice("k.pieces", F.lit(1), F.size("k.matches")).alias("piece"), F.col("k.matches").alias("match"), F.slice("k.pieces", F.lit(2), F.size("k.matches")).alias("next"))
     found = found.select("row", "k.kind", F.posexplode(pairs).alias("at", "pair"))
     found = found.select(
         "row", "kind", "at", F.length("pair.piece").alias("gap"), F.length("pair.match").alias("n"),
-        F.col("pair.match").alias("value"), F.right("pair.piece", F.lit(120)).alias("left"),
+        F.col("pair.match").alias("value"), F.right("pair.piece", F.lit(_BESIDE)).alias("before"), F.left("pair.next", F.lit(_BESIDE)).alias("after"),
     )
-    end = F.sum(F.col("gap") + F.col("n")).over(Window.partitionBy("row", "kind").orderBy("at"))
+    # Two matches away is far enough for two words.
+    order = Window.partitionBy("row", "kind").orderBy("at")
+    tail, head = F.right("value", F.lit(_BESIDE)), F.left("value", F.lit(_BESIDE))
+    left = [f(x, k, "").over(order) for k in (2, 1) for f, x in ((F.lag, F.col("before")), (F.lag, tail))]
+    right = [f(x, k, "").over(order) for k in (1, 2) for f, x in ((F.lead, head), (F.lead, F.col("after")))]
+    found = found.withColumn("left", F.right(F.concat(*left, "before"), F.lit(_BESIDE))).withColumn("right", F.left(F.concat("after", *right), F.lit(_BESIDE)))
+    end = F.sum(F.col("gap") + F.col("n")).over(order)
     found = found.withColumn("end", end).withColumn("start", F.col("end") - F.col("n"))
-    return found.where(_valid(F.col("kind"), F.col("value"))).select("row", "kind", "start", "end", "value", "left")
+    return found.where(_valid(F.col("kind"), F.col("value"))).select("row", "kind", "start", "end", "value", "left", "right")
 
 
 def _free(found: DataFrame) -> DataFrame:
@@ -88,24 +101,43 @@ def _free(found: DataFrame) -> DataFrame:
     marked = found.withColumn("upto", F.max(F.when(base, F.col("end"))).over(ahead))
     marked = marked.withColumn("from", F.min(F.when(base, F.col("start"))).over(back))
     clear = (F.coalesce("upto", F.lit(0)) <= F.col("start")) & (F.coalesce(F.col("from"), F.col("end")) >= F.col("end"))
-    core = F.regexp_replace("value", r"^[^\p{L}\p{N}]++|[^\p{L}\p{N}]++$", "")
-    lead = F.length("value") - F.length(F.regexp_replace("value", r"^[^\p{L}\p{N}]++", ""))
+    marks = r"^(?:(?!\([0-9]++\)[\x20.-]?[0-9])[^\p{L}\p{N}])++"  # "(555) 555" keeps its brackets
+    core = F.regexp_replace("value", marks + r"|[^\p{L}\p{N}]++$", "")
+    lead = F.length("value") - F.length(F.regexp_replace("value", marks, ""))
     words = marked.where(~base & clear).withColumn("start", F.col("start") + lead).withColumn("value", core)
     words = words.withColumn("end", F.col("start") + F.length("value")).where("end > start")
-    columns = ["row", "kind", "start", "end", "value", "left"]
+    columns = ["row", "kind", "start", "end", "value", "left", "right"]
     return marked.where(base).select(columns).unionByName(words.select(columns))
 
 
-def _pattern(left: Column) -> Column:
-    """The two words before a mention (one where there is one only), lower-cased."""
-    words = F.split(F.trim(F.regexp_replace(F.lower(left), rf"[{_GAP}]+", " ")), " ")
-    last = F.array_join(F.slice(words, -F.least(F.size(words), F.lit(2)), F.lit(2)), " ")
-    return F.nullif(last, F.lit(""))
+def _patterns() -> Column:
+    """(pattern, far) of a mention, lower-cased: two words before it (one where there is
+    one only), one word, and the same after it; far is the word on the far side of a
+    one-word pattern."""
+
+    def words(text: Column) -> Column:
+        plain = F.trim(F.regexp_replace(F.lower(text), rf"[{_GAP}]+", " "))
+        return F.filter(F.split(plain, " "), lambda w: w != "")
+
+    before = F.reverse(words(F.regexp_replace("left", rf"(?<![^{_GAP}])[^\p{{L}}\p{{N}}{_GAP}]++$", "")))
+    after = words(F.regexp_replace("right", r"^[^\p{L}\p{N}]++", ""))
+
+    def of(side: str, near: Column) -> list[Column]:
+        far = F.get(near, 1)
+        two = F.struct(F.concat_ws(" ", F.lit(f"{side}2"), F.get(near, 0), far).alias("pattern"), F.lit(None).cast("string").alias("far"))
+        one = F.struct(F.concat_ws(" ", F.lit(f"{side}1"), F.get(near, 0)).alias("pattern"), far.alias("far"))
+        return [F.when(F.size(near) > 0, x) for x in (two, one)]
+
+    return F.filter(F.array(*of("<", before), *of(">", after)), lambda x: x.isNotNull())
 
 
 def learned(free: DataFrame, support: int, confident: float, rounds: int) -> DataFrame:
     """(pattern, value, kind) that the pattern-value graph vouches for."""
-    edges = free.select(_pattern(F.col("left")).alias("pattern"), "kind", F.lower("value").alias("value")).where("pattern IS NOT NULL")
+    seen = free.select(F.explode(_patterns()).alias("p"), "kind", F.lower("value").alias("value")).select("p.pattern", "p.far", "kind", "value")
+    short = F.substring("pattern", 2, 1) == "1"
+    varied = seen.where(short & F.col("far").isNotNull() & (F.col("kind") != "word")).select("pattern", "far").distinct()
+    varied = varied.groupBy("pattern").count().where(F.col("count") >= support).select("pattern")
+    edges = seen.where(~short).unionByName(seen.where(short).join(varied, "pattern", "left_semi"))
     edges = edges.groupBy("pattern", "value").agg(F.min(F.when(F.col("kind") != "word", F.col("kind"))).alias("base"))
     totals = edges.groupBy("pattern").agg(F.count("*").alias("n"), F.count("base").alias("seeds"))
     edges = edges.join(totals.where((F.col("n") >= support) & (F.col("seeds") > 0)), "pattern")
@@ -133,7 +165,8 @@ def spans(
     known = learned(free, support, confident, rounds).select("pattern", F.col("value").alias("known"), F.col("kind").alias("of"))
     number = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int") - 1
     base = free.where("kind <> 'word'").select("row", F.struct(number.alias("no"), "start", "end", F.lit(True).alias("base")).alias("span"))
-    words = free.where("kind = 'word'").select("row", "start", "end", F.lower("value").alias("value"), _pattern(F.col("left")).alias("pattern"))
+    words = free.where("kind = 'word'").select("row", "start", "end", F.lower("value").alias("value"), F.explode(_patterns()).alias("p"))
+    words = words.select("row", "start", "end", "value", "p.pattern")
     new = words.join(known, (words["pattern"] == known["pattern"]) & (F.col("value") == F.col("known"))).select("row", "start", "end", F.col("of").alias("kind"))
     new = new.groupBy("row", "start", "end").agg(F.min("kind").alias("kind"))
     new = new.select("row", F.struct(number.alias("no"), "start", "end", F.lit(False).alias("base")).alias("span"))

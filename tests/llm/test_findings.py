@@ -1,6 +1,6 @@
 """One test for each place where an operator once did less than its whole job."""
 
-from onomast.llm import quality, template
+from onomast.llm import pii, quality, template
 from onomast.llm.htmltext import events
 
 
@@ -52,3 +52,26 @@ def test_near_copies_without_article_keep_what_they_share():
     page = "<html><body><div><p>A first paragraph that all of the pages share.<p>A second one that they share too.<p>Seen on day {0}</div></body></html>"
     want = "A first paragraph that all of the pages share.\n\nA second one that they share too.\n\nSeen on day "
     assert template.extract([page.format(i) for i in range(6)]) == [f"{want}{i}" for i in range(6)]
+
+
+def found(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.digest(pii.spans(rows)).collect()}
+    return [[texts[i][int(a) : int(b)] for _, a, b in (x.split(":") for x in got[i].split(",") if x)] for i in range(len(texts))]
+
+
+def test_identifiers_after_a_label_with_varying_words_before_it(spark):
+    texts = [f"one{i} phone: +1 (555) 555-0{100 + i} two{i} three" for i in range(40)]
+    new = ["Anna phone: 555-0199", "the office phone: 555-0123 is new", "room 7 phone: 555-0124"]
+    assert found(spark, texts + new)[40:] == [["555-0199"], ["555-0123"], ["555-0124"]]
+
+
+def test_identifiers_before_a_constant_context(spark):
+    texts = [f"one{i} two{i} +1 (555) 555-0{100 + i} is my number" for i in range(20)]
+    assert found(spark, [*texts, "hello 555-0199 is my number", "hello 12 is a number"])[20:] == [["555-0199"], []]
+
+
+def test_a_candidate_is_the_whole_number(spark):
+    texts = [f"one{i} ring me at +1 (555) 555-0{100 + i} today" for i in range(20)]
+    new = ["please ring me at (555) 555-0199, thanks", "in 1999 ring me at 555 0199"]
+    assert found(spark, texts + new)[20:] == [["(555) 555-0199"], ["555 0199"]]
