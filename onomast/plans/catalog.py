@@ -211,7 +211,8 @@ def long_lines_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("documents_junk_parse")
 def documents_junk_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Any line of prose may be parsed without error."""
-    lines = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.explode(F.split("text", "\n")).alias("line"))
+    texts = [spark.read.parquet(f"{sf_dir}/{table}.parquet").select("text") for table in ("documents", "conversations")]
+    lines = texts[0].unionByName(texts[1]).select(F.explode(F.split("text", "\n")).alias("line"))
     return parse_stats(lines.withColumn("p", N.parse_name("line")))
 
 

@@ -75,3 +75,11 @@ def test_a_candidate_is_the_whole_number(spark):
     texts = [f"one{i} ring me at +1 (555) 555-0{100 + i} today" for i in range(20)]
     new = ["please ring me at (555) 555-0199, thanks", "in 1999 ring me at 555 0199"]
     assert found(spark, texts + new)[20:] == [["(555) 555-0199"], ["555 0199"]]
+
+
+def test_junk_lines_are_of_documents_and_conversations(spark, tmp_path):
+    from onomast.plans import QUERIES
+
+    spark.createDataFrame([("Jane Doe\nJohn Smith",)], "text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("Ann Lee",)], "text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert sum(QUERIES["documents_junk_parse"](spark, str(tmp_path)).first()) == 3
