@@ -122,13 +122,25 @@ def render(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", r
     return talks.select(F.col("conv").alias(conv_col), "formatted", escaped.alias("escaped"), mask.alias("mask"))
 
 
+def _under_mask(t: Template) -> Column:
+    """The text of the runs of ``formatted`` that ``mask`` has in the loss, unescaped."""
+
+    def cut(done: Column, run: Column) -> Column:
+        text = unescape(F.substring(F.col("formatted"), done["at"], run["n_chars"]), t)
+        parts = F.when(run["in_loss"], F.array_append(done["parts"], text)).otherwise(done["parts"])
+        return F.struct((done["at"] + run["n_chars"]).alias("at"), parts.alias("parts"))
+
+    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<string>").alias("parts"))
+    return F.aggregate("mask", start, cut, lambda done: F.array_join(done["parts"], ""))
+
+
 def summary(rendered: DataFrame, conv_col: str = "conv_id", template: Template = Template()) -> DataFrame:
     """What a reader gets back from ``formatted``: counts and digests of the turns
     and of the text under the loss mask."""
     t = template
-    read = rendered.select(conv_col, F.length("formatted").cast("long").alias("formatted_chars"), parse(F.col("formatted"), t).alias("turns"))
+    read = rendered.select(conv_col, F.length("formatted").cast("long").alias("formatted_chars"), parse(F.col("formatted"), t).alias("turns"), _under_mask(t).alias("loss"))
     lines = F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n")))
-    loss = F.array_join(F.transform(F.filter("turns", lambda x: x["role"].isin(*t.loss_roles)), lambda x: x["text"]), "")
+    loss = F.col("loss")
     return read.select(
         conv_col,
         F.size("turns").cast("long").alias("n_turns"),

@@ -1,6 +1,8 @@
 """One test for each place where an operator once did less than its whole job."""
 
-from onomast.llm import pii, quality, template
+from pyspark.sql import functions as F
+
+from onomast.llm import chat, pii, quality, template
 from onomast.llm.htmltext import events
 
 
@@ -83,3 +85,11 @@ def test_junk_lines_are_of_documents_and_conversations(spark, tmp_path):
     spark.createDataFrame([("Jane Doe\nJohn Smith",)], "text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([("Ann Lee",)], "text string").write.parquet(f"{tmp_path}/conversations.parquet")
     assert sum(QUERIES["documents_junk_parse"](spark, str(tmp_path)).first()) == 3
+
+
+def test_loss_is_read_from_under_the_mask(spark):
+    rows = spark.createDataFrame([(1, 0, "user", "ask"), (1, 1, "assistant", "a </s> b"), (1, 2, "assistant", "c")], "conv_id long, turn int, role string, text string")
+    made = chat.render(rows)
+    assert chat.summary(made).first().loss_chars == len("a </s> bc")
+    none = made.withColumn("mask", F.transform("mask", lambda r: F.struct(r["n_chars"], F.lit(False).alias("in_loss"))))
+    assert chat.summary(none).first().loss_chars == 0
