@@ -1,7 +1,7 @@
 """Scratch tables and files in the folder that all executors share.
 
-The folder comes from ``spark.checkpoint.dir``; only where the session leaves
-it unset (tests, local runs) is one chosen here.
+The folder comes from ``spark.checkpoint.dir``; only a local session that leaves it
+unset (tests) gets one of this machine's.
 """
 
 from __future__ import annotations
@@ -17,9 +17,11 @@ _made: list[tuple[object, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; sets one if the session has none."""
+    """The shared folder of the session; sets one if a local session has none."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{_DEFAULT}"
         spark.sparkContext.setCheckpointDir(base)
         spark.conf.set("spark.checkpoint.dir", base)
@@ -32,16 +34,37 @@ def _filesystem(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh folder URI under the shared folder, removed when the process ends."""
-    path = f"{shared_dir(spark)}/onomast-{label}-{uuid.uuid4().hex}"
+def made(spark: SparkSession, path: str) -> str:
+    """The folder ``path``, made if it is not there, as a full URI."""
     fs, p = _filesystem(spark, path)
     fs.mkdirs(p)
-    path = fs.makeQualified(p).toString()
+    return fs.makeQualified(p).toString()
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A fresh folder URI under the shared folder, removed when the session's JVM or the
+    process ends, or by ``release``."""
+    path = made(spark, f"{shared_dir(spark)}/onomast-{label}-{uuid.uuid4().hex}")
+    fs, p = _filesystem(spark, path)
+    fs.deleteOnExit(p)
     _made.append((spark, path))
     return path
 
 
+def marked() -> int:
+    """A mark for ``release``."""
+    return len(_made)
+
+
+def release(mark: int, keep: int = 0) -> None:
+    """Drop the folders made since ``mark`` but the last ``keep``: for a caller that has
+    written its result and needs none of them again."""
+    gone = _made[mark : len(_made) - keep]
+    _made[mark : len(_made) - keep] = []
+    for spark, path in gone:
+        drop(spark, path)
+
+
 def drop(spark: SparkSession, path: str) -> None:
     fs, p = _filesystem(spark, path)
     fs.delete(p, True)
