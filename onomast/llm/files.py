@@ -27,10 +27,15 @@ def stream(uri: str):
     return system.open_input_stream(path, compression=None)
 
 
+def opened(uri: str):
+    """A file to seek in."""
+    system, path = fs.FileSystem.from_uri(uri)
+    return system.open_input_file(path)
+
+
 def read_range(uri: str, offset: int, length: int):
     """A buffer with the bytes of a part of a file."""
-    system, path = fs.FileSystem.from_uri(uri)
-    with system.open_input_file(path) as f:
+    with opened(uri) as f:
         f.seek(offset)
         return f.read_buffer(length)
 

@@ -1,28 +1,46 @@
 """SimHash near-duplicates by multi-index hashing.
 
 A text is lower-cased (A-Z), cut into words ``[^\\x20\\x09-\\x0D]+`` and shingles of
-``shingle`` words; bit b of its fingerprint is set if it is set in over half the
-shingles' XXH64 (seed 42).  Fingerprints within ``distance`` bits link.
-
-Multi-index hashing cuts the 64 bits into m segments with radii r_i whose
-(r_i + 1) add up to distance + 1: two linked fingerprints are within r_i in some
-segment i.  Each distinct fingerprint stands once in each segment's table and
-asks for every value of the Hamming ball of radius r_i around its own segment;
-what the table returns is verified on all 64 bits.  m grows smaller as the
-number of distinct fingerprints grows, so tables stay sparse.
-
-Copies are one fingerprint before any search.  A table bucket or query set above
-``block`` rows is cut into blocks, every block of queries against every block of
-entries, so no task holds a hot bucket; a task returns a spanning forest of the
-links it verified, never all pairs, which keeps components exact.
+``shingle`` words; a bit of its fingerprint is set if it is set in over half of the
+shingles' hashes (XXH64, seed 42; wider fingerprints mix each hash into more words).
+
+Multi-index hashing cuts fingerprints into segments of 21 or 22 bits, three a word.
+Each distinct fingerprint stands once in each segment's table and asks for every value
+of the Hamming ball around its own segment; what the table returns is verified on all
+bits.  Plans are fixed, the same for any number of rows:
+
+* ``complete_plan``: 64 bits, with radii that add up so that no two fingerprints within
+  the distance are missed (distance 4: radii 1, 1 and 0);
+* ``WIDE``: 256 bits, twelve segments of radius 2.  Two texts whose sets of shingles have
+  similarity 0.8 differ in 0.15 of their bits; a segment finds them with probability 0.36,
+  one of the twelve with 0.995 (0.99998 at similarity 0.9).  Up to 56 differing bits are
+  looked at, three standard deviations above the mean at 0.8, and then their sets of
+  shingles are compared: only a Jaccard similarity of ``similarity`` or more links.
+
+A table is cut by the first bits of a segment into parts of some ``block`` entries; a
+query goes to the parts that its ball reaches, and only upwards, for a pair is found
+from either side.  A part above ``block`` entries or queries is cut into blocks of both,
+every block of queries against every block of entries.  Within a part the rest of the
+ball is enumerated, candidates are verified in bounded steps, and a task returns a
+spanning forest of the links that it verified, never all pairs, which keeps components
+exact.  Copies are one fingerprint before any search.
+
+Sets of shingles (32 bits of each hash, sorted) wait in flat files of the shared folder;
+a task reads those of the pairs it has to compare, unless the links that it has found
+already join the two.
 
 Defined results: null or empty texts have fingerprint 0 and link like others; a
 null id counts only if its component has no other; repeated rows are copies; an
-empty table gives an empty result; other columns are not read.
+empty table gives an empty result; other columns are not read (``one_of_each`` passes
+them on).
 """
 
 from __future__ import annotations
 
+import math
+import uuid
+from collections import OrderedDict
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -30,13 +48,40 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from onomast.llm.files import sliced
+from onomast.llm.files import create, opened, sliced
 from onomast.operators.components import components
-from onomast.sources.scratch import written
+from onomast.sources.scratch import made, scratch, written
 
-_CHUNK = 1 << 13
+_CHUNK = 255
 _PAIRS = 1 << 18
+_CACHE = 64 << 20
+_BITMAP = 1 << 15
+
+
+@dataclass(frozen=True)
+class Plan:
+    """``segments``: (word, shift, bits, radius); a negative radius leaves one out."""
+
+    words: int
+    distance: int
+    segments: tuple[tuple[int, int, int, int], ...]
+
+
+def _cuts(words: int, radii: list[int]) -> tuple[tuple[int, int, int, int], ...]:
+    thirds = [(w, shift, bits) for w in range(words) for shift, bits in ((0, 21), (21, 21), (42, 22))]
+    return tuple((*third, r) for third, r in zip(thirds, radii, strict=True) if r >= 0)
+
+
+def complete_plan(distance: int) -> Plan:
+    """64 bits: of three segments one is within its radius, as (radius + 1) adds up to
+    ``distance`` + 1."""
+    spare = distance - 2
+    return Plan(1, distance, _cuts(1, [spare // 3 + (i < spare % 3) for i in range(3)]))
+
+
+WIDE = Plan(4, 56, _cuts(4, [2] * 12))
 
 
 def shingles_of(text: str | None, size: int) -> list[bytes]:
@@ -53,17 +98,34 @@ def shingles_of(text: str | None, size: int) -> list[bytes]:
     return [joined[a:b] for a, b in zip(starts, stops[size - 1 :].tolist(), strict=True)]
 
 
+def hashes_of(text: str | None, size: int) -> np.ndarray:
+    """XXH64 of each shingle of a text."""
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(s, 42) for s in shingles_of(text, size)], dtype="<u8")
+
+
+def _mixed(hashes: np.ndarray, lane: int) -> np.ndarray:
+    """The words of a wide fingerprint come from one hash by splitmix64."""
+    z = hashes + np.uint64(lane * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def majority(hashes: np.ndarray, words: int = 1) -> np.ndarray:
+    """The fingerprint, as ``words`` unsigned words: bits set in over half the hashes."""
+    counts = np.zeros(64 * words, dtype=np.int64)
+    for i in range(0, len(hashes), _CHUNK):
+        own = hashes[i : i + _CHUNK]
+        lanes = np.stack([own, *(_mixed(own, k) for k in range(1, words))], axis=1)
+        bits = np.unpackbits(lanes.view(np.uint8).reshape(len(own), 8 * words), axis=1, bitorder="little")
+        counts += np.add.reduce(bits, axis=0, dtype=np.uint8)  # at most 255 of them
+    return np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")
+
+
 def fingerprint(text: str | None, size: int = 4) -> int:
     """The SimHash of a text, unsigned."""
-    shingles = shingles_of(text, size)
-    if not shingles:
-        return 0
-    counts = np.zeros(64, dtype=np.int64)
-    for i in range(0, len(shingles), _CHUNK):
-        hashes = np.array([xxhash.xxh64_intdigest(s, 42) for s in shingles[i : i + _CHUNK]], dtype="<u8")
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(2 * counts > len(shingles), bitorder="little")
-    return int(bits.view("<u8")[0])
+    return int(majority(hashes_of(text, size))[0])
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = 4) -> DataFrame:
@@ -78,24 +140,9 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = 4)
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, fp long")
 
 
-def segments(n: int, distance: int) -> list[tuple[int, int, int]]:
-    """(shift, bits, radius) of each segment for ``n`` fingerprints: the plan with
-    the least rows to deal out and entries to verify."""
-    best: tuple[float, list[tuple[int, int, int]]] | None = None
-    for m in range(1, distance + 2):
-        cuts = [64 * i // m for i in range(m + 1)]
-        spare = distance + 1 - m
-        radii = [spare // m + (i < spare % m) for i in range(m)]
-        plan = [(cuts[i], cuts[i + 1] - cuts[i], radii[i]) for i in range(m)]
-        balls = [sum(len(list(combinations(range(b), k))) if k < 3 else 40_000 for k in range(r + 1)) for _, b, r in plan]
-        cost = sum(ball * (1 + 0.02 * n / 2.0**b) for ball, (_, b, _) in zip(balls, plan, strict=True))
-        if best is None or cost < best[0]:
-            best = cost, plan
-    return best[1]
-
-
-def _masks(bits: int, radius: int) -> list[int]:
-    return [sum(1 << b for b in flips) for k in range(radius + 1) for flips in combinations(range(bits), k)]
+def _masks(bits: int, radius: int) -> list[tuple[int, int]]:
+    """(mask, weight) of a Hamming ball."""
+    return [(sum(1 << b for b in flips), k) for k in range(min(radius, bits) + 1) for flips in combinations(range(bits), k)]
 
 
 def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,111 +169,201 @@ def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[leaf], nodes[label[leaf]]
 
 
-def _verify(distance: int):
-    """Arrow pass over (bucket, role, fp) rows sorted by bucket, entries first."""
+class AllNear:
+    """Every pair within the distance is a link."""
+
+    def __init__(self):
+        self.keep: list[tuple[np.ndarray, np.ndarray]] = []
+        self.held = 0
+
+    def add(self, node: np.ndarray, u: np.ndarray, v: np.ndarray, apart: np.ndarray, places: list) -> None:
+        self.keep.append((node[u], node[v]))
+        self.held += len(u)
+        if self.held > 2 * _PAIRS:
+            self.keep, self.held = [self.links()], 0
+
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.keep:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return forest(*(np.concatenate(x) for x in zip(*self.keep, strict=True)))
+
+
+class Similar:
+    """Pairs whose sets of shingles have at least a similarity are links; near pairs come
+    first, and pairs that links join already are not compared."""
+
+    def __init__(self, similarity: float):
+        self.similarity = similarity
+        self.root: dict[int, int] = {}
+        self.found: list[tuple[int, int]] = []
+        self.sets: OrderedDict[tuple[str, int], np.ndarray] = OrderedDict()
+        self.held = 0
+        self.files: OrderedDict[str, object] = OrderedDict()
+
+    def _find(self, x: int) -> int:
+        root = self.root
+        while (up := root.get(x, x)) != x:
+            root[x] = x = root.get(up, up)
+        return x
+
+    def _set(self, place: tuple[str, int, int]) -> np.ndarray:
+        uri, at, n = place
+        if (uri, at) in self.sets:
+            self.sets.move_to_end((uri, at))
+            return self.sets[uri, at]
+        if uri not in self.files:
+            self.files[uri] = opened(uri)
+            if len(self.files) > 64:
+                self.files.popitem(last=False)[1].close()
+        self.files[uri].seek(4 * at)
+        own = self.sets[uri, at] = np.frombuffer(self.files[uri].read(4 * n), dtype="<u4")
+        self.held += own.nbytes
+        while self.held > _CACHE and len(self.sets) > 1:
+            self.held -= self.sets.popitem(last=False)[1].nbytes
+        return own
+
+    def _alike(self, a: tuple[str, int, int], b: tuple[str, int, int]) -> bool:
+        if a[2] > b[2]:
+            a, b = b, a
+        if a[2] < self.similarity * b[2]:
+            return False
+        x, y = self._set(a), self._set(b)
+        at = np.searchsorted(y, x)
+        both = int(np.count_nonzero(y[np.minimum(at, len(y) - 1)] == x)) if len(y) else 0
+        return both >= self.similarity * (len(x) + len(y) - both)
+
+    def add(self, node: np.ndarray, u: np.ndarray, v: np.ndarray, apart: np.ndarray, places: list) -> None:
+        uri, at, n = places
+        order = np.argsort(apart, kind="stable")
+        for i, j in zip(u[order].tolist(), v[order].tolist(), strict=True):
+            a, b = self._find(int(node[i])), self._find(int(node[j]))
+            if a != b and self._alike((uri[i].as_py(), int(at[i]), int(n[i])), (uri[j].as_py(), int(at[j]), int(n[j]))):
+                self.root[max(a, b)] = min(a, b)
+                self.found.append((a, b))
+
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        both = np.array(self.found, dtype=np.int64).reshape(-1, 2)
+        return both[:, 0], both[:, 1]
+
+
+def _part(plan: Plan, outer: list[int], seg: int, role, left, node, fps, places, judge) -> None:
+    """All queries of a part against all its entries, in bounded steps."""
+    word, shift, bits, radius = plan.segments[seg]
+    inner = bits - outer[seg]
+    value = ((fps[word] >> np.uint64(shift)) & np.uint64((1 << inner) - 1)).astype(np.int64)
+    entries = np.flatnonzero(role & 1)
+    if not len(entries):
+        return
+    entries = entries[np.argsort(value[entries], kind="stable")]
+    ordered = value[entries]
+    table = None
+    if 16 * len(entries) >= 1 << inner:
+        table = np.zeros((1 << inner) + 1, dtype=np.int32)
+        np.cumsum(np.bincount(ordered, minlength=1 << inner), out=table[1:])
+
+    def compare(queries, lows, counts):
+        upto = np.cumsum(counts)
+        i = 0
+        while i < len(queries):
+            base = upto[i] - counts[i]
+            j = max(i + 1, int(np.searchsorted(upto, base + _PAIRS, side="right")))
+            w = counts[i:j]
+            q = np.repeat(queries[i:j], w)
+            e = entries[np.repeat(lows[i:j] - (upto[i:j] - w - base), w) + np.arange(len(q))]
+            # Two of one part find each other twice.
+            once = (node[q] < node[e]) | ((left[q] < radius) & (node[q] != node[e]))
+            q, e = q[once], e[once]
+            apart = sum(np.bitwise_count(f[q] ^ f[e]).astype(np.int16) for f in fps)
+            near = apart <= plan.distance
+            if near.any():
+                judge.add(node, q[near], e[near], apart[near], places)
+            i = j
+
+    asking = np.flatnonzero(role & 2)
+    for r in np.unique(left[asking]).tolist():
+        queries = asking[left[asking] == r]
+        own = value[queries]
+        held, size = [], 0
+        for mask, _ in _masks(inner, r):
+            wanted = own ^ mask
+            if table is not None:
+                low, high = table[wanted], table[wanted + 1]
+            else:
+                low, high = np.searchsorted(ordered, wanted, side="left"), np.searchsorted(ordered, wanted, side="right")
+            some = np.flatnonzero(high > low)
+            if len(some):
+                held.append((queries[some], low[some].astype(np.int64), (high[some] - low[some]).astype(np.int64)))
+                size += int(held[-1][2].sum())
+            if size >= _PAIRS:
+                compare(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                held, size = [], 0
+        if held:
+            compare(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+
+def _search(plan: Plan, outer: list[int], new_judge):
+    """Arrow pass over (part, seg, role, left, node, words..., place...) rows sorted by part."""
 
     def run(batches):
-        keep: list[tuple[np.ndarray, np.ndarray]] = []
-        held = 0
-
-        def add(u, v):
-            nonlocal keep, held
-            keep.append((u, v))
-            held += len(u)
-            if held > 2 * _PAIRS:
-                a, b = forest(*(np.concatenate(x) for x in zip(*keep, strict=True)))
-                keep, held = [(a, b)], 0
-
-        def match(key, role, fp):
-            """All queries against all entries of the same bucket, in bounded steps."""
-            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-            stops = np.r_[starts[1:], len(key)]
-            entries = np.add.reduceat(role == 0, starts) if len(starts) else starts
-            queries = np.arange(len(key))[role == 1]
-            bucket = np.repeat(np.arange(len(starts)), stops - starts)[queries]
-            work = entries[bucket]
-            queries, bucket, work = queries[work > 0], bucket[work > 0], work[work > 0]
-            upto = np.cumsum(work)
-            i = 0
-            while i < len(queries):
-                base = upto[i] - work[i]
-                j = max(i + 1, int(np.searchsorted(upto, base + _PAIRS, side="right")))
-                w = work[i:j]
-                q = np.repeat(queries[i:j], w)
-                first = np.repeat(upto[i:j] - w - base, w)
-                e = np.repeat(starts[bucket[i:j]], w) + np.arange(len(q)) - first
-                near = np.bitwise_count(fp[q] ^ fp[e]) <= distance
-                u, v = fp[q[near]], fp[e[near]]
-                other = u != v
-                if other.any():
-                    add(u[other], v[other])
-                i = j
-
-        rest: tuple[np.ndarray, ...] | None = None
+        judge = new_judge()
+        held: list[pa.RecordBatch] = []
+
+        def solve():
+            if held:
+                rows = pa.Table.from_batches(held).combine_chunks()
+                seg, role, left, node = (rows.column(k).to_numpy() for k in (1, 2, 3, 4))
+                fps = [rows.column(5 + k).to_numpy().view(np.uint64) for k in range(plan.words)]
+                places = [rows.column(k) if pa.types.is_string(rows.schema.field(k).type) else rows.column(k).to_numpy() for k in range(5 + plan.words, rows.num_columns)]
+                _part(plan, outer, int(seg[0]), role, left, node, fps, places, judge)
+                held.clear()
+
         for batch in batches:
-            cols = tuple(batch.column(k).to_numpy() for k in range(3))
-            if rest is not None:
-                cols = tuple(np.concatenate([a, b]) for a, b in zip(rest, cols, strict=True))
-            if not len(cols[0]):
-                continue
-            cut = int(np.searchsorted(cols[0], cols[0][-1], side="left"))
-            match(cols[0][:cut], cols[1][:cut], cols[2][:cut].view(np.uint64))
-            rest = tuple(c[cut:] for c in cols)
-        if rest is not None:
-            match(rest[0], rest[1], rest[2].view(np.uint64))
-        if keep:
-            a, b = forest(*(np.concatenate(x) for x in zip(*keep, strict=True)))
-            for i in range(0, len(a), 50_000):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(a[i : i + 50_000].view(np.int64)), pa.array(b[i : i + 50_000].view(np.int64))], names=["a", "b"]
-                )
+            part = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if b > a:
+                    if held and held[0].column(0)[0].as_py() != part[a]:
+                        solve()
+                    held.append(batch.slice(a, b - a))
+        solve()
+        u, v = judge.links()
+        for i in range(0, len(u), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(u[i : i + 50_000]), pa.array(v[i : i + 50_000])], names=["a", "b"])
 
     return run
 
 
-def links(distinct: DataFrame, distance: int = 4, block: int = 4096) -> DataFrame:
-    """(a, b): links that connect the same fingerprints as all pairs of ``distinct``
-    (one column fp, no repeats) within ``distance`` bits."""
-    plan = segments(distinct.count(), distance)
-    value = [f"(shiftrightunsigned(fp, {s}) & {(1 << b) - 1}L)" if b < 64 else "fp" for s, b, _ in plan]
-
-    def bucket(seg: str, val: str) -> str:
-        return f"xxhash64({seg}, {val})"
-
-    entry = [f"struct({i} as seg, {v} as val, 0 as role)" for i, v in enumerate(value)]
-    table = distinct.selectExpr("fp", f"inline(array({','.join(entry)}))")
-    asked = None
-    for i, (_, bits, radius) in enumerate(plan):
-        ball = ",".join(f"{m}L" for m in _masks(bits, radius))
-        own = distinct.selectExpr("fp", f"explode(transform(array({ball}), m -> {value[i]} ^ m)) as val", f"{i} as seg")
-        own = own.selectExpr("fp", "seg", "val", "1 as role")
-        asked = own if asked is None else asked.unionByName(own)
-    table = table.selectExpr(f"{bucket('seg', 'val')} as bucket", "role", "fp")
-    asked = asked.selectExpr(f"{bucket('seg', 'val')} as bucket", "role", "fp")
-    return _search(table, asked, distance, block)
-
-
-def _search(table: DataFrame, asked: DataFrame, distance: int, block: int) -> DataFrame:
-    """Queries against entries of the same bucket; buckets over ``block`` in blocks."""
-    hot = table.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > block)
-    hot = written(hot.select(F.col("bucket").alias("hot"), F.ceil(F.col("n") / block).cast("int").alias("parts")), "hot")
+def links(nodes: DataFrame, plan: Plan, new_judge=AllNear, block: int = 1 << 20) -> DataFrame:
+    """(a, b): links that connect the same nodes as all pairs that the plan finds and the
+    judge accepts.  ``nodes`` has node (long, no repeats), f0 and further words, and what
+    the judge needs of a node."""
+    spread = max(24 / len(plan.segments), nodes.count() / block)
+    cut = max(0, math.ceil(math.log2(spread)))
+    outer = [min(cut, bits - 4) for _, _, bits, _ in plan.segments]
+    dealt = []
+    for i, (word, shift, bits, radius) in enumerate(plan.segments):
+        first = f"(shiftrightunsigned(f{word}, {shift + bits - outer[i]}) & {(1 << outer[i]) - 1}L)"
+        ball = ",".join(f"struct({m}L as mask, {k} as k)" for m, k in _masks(outer[i], radius))
+        up = f"filter(array({ball}), m -> m.k = 0 or ({first} ^ m.mask) > {first})"
+        role = "if(m.k = 0, 3, 2)"
+        dealt.append(f"transform({up}, m -> struct({i << 32}L + ({first} ^ m.mask) as part, {i} as seg, {role} as role, {radius} - m.k as left))")
+    rows = nodes.select(F.expr(f"inline(flatten(array({','.join(dealt)})))"), *nodes.columns)
+    order = ["part", "seg", "role", "left", "node", *[f"f{k}" for k in range(plan.words)]]
+    order += [c for c in nodes.columns if c not in order]
+    rows = rows.select(order)
+    sizes = rows.groupBy("part").agg(F.sum((F.col("role") == 3).cast("long")).alias("e"), F.count("*").alias("q"))
+    hot = sizes.where((F.col("e") > block) | (F.col("q") > block))
+    hot = written(hot.select(F.col("part").alias("hot"), F.ceil(F.col("e") / block).cast("int").alias("es"), F.ceil(F.col("q") / block).cast("int").alias("qs")), "hot")
     if hot.count():
-        # A query goes to one row of blocks, an entry to one column; near values are
-        # asked for by the same neighbours, so both sides are cut into as many parts.
-        part = "cast(pmod(xxhash64(fp, 'part'), parts) as int)"
-        spread = {
-            0: f"transform(sequence(0, parts - 1), q -> xxhash64(bucket, q, {part}))",
-            1: f"transform(sequence(0, parts - 1), e -> xxhash64(bucket, {part}, e))",
-        }
-
-        def cut(rows: DataFrame, role: int) -> DataFrame:
-            joined = rows.join(hot, F.col("bucket") == F.col("hot"), "left")
-            buckets = F.expr(f"if(parts is null, array(bucket), {spread[role]})")
-            return joined.select(F.explode(buckets).alias("bucket"), "role", "fp")
-
-        table, asked = cut(table, 0), cut(asked, 1)
-    rows = table.unionByName(asked).repartition("bucket").sortWithinPartitions("bucket", "role")
-    return rows.mapInArrow(_verify(distance), "a long, b long")
+        # A query goes to one row of blocks, an entry to one column.
+        rows = rows.join(hot, F.col("part") == F.col("hot"), "left")
+        own = "cast(pmod(xxhash64(node, 'part'), {}) as int)"
+        asks = f"transform(sequence(0, es - 1), e -> struct(xxhash64(part, {own.format('qs')}, e) as part, 2 as role))"
+        stands = f"transform(sequence(0, qs - 1), q -> struct(xxhash64(part, q, {own.format('es')}) as part, 1 as role))"
+        both = f"if(hot is null, array(struct(part, role)), concat({asks}, if(role = 3, {stands}, array())))"
+        rows = rows.withColumn("to", F.explode(F.expr(both))).select("to.part", "seg", "to.role", *order[3:])
+    rows = rows.repartition("part").sortWithinPartitions("part")
+    return rows.mapInArrow(_search(plan, outer, new_judge), "a long, b long")
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4) -> DataFrame:
@@ -238,7 +375,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
 def labelled(fps: DataFrame, id_col: str, distance: int) -> DataFrame:
     """``fps`` (id, fp) with component_id."""
     first = written(fps.groupBy("fp").agg(F.min(id_col).alias("first")), "distinct")
-    found = components(links(first.select("fp"), distance))
+    found = components(links(first.select(F.col("fp").alias("node"), F.col("fp").alias("f0")), complete_plan(distance)))
     rooted = first.join(found, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     label = rooted.select(F.col("fp").alias("key"), "root").join(lowest, "root").select("key", "component_id")
@@ -246,12 +383,59 @@ def labelled(fps: DataFrame, id_col: str, distance: int) -> DataFrame:
     return out.select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the row with the smallest
-    id (null last), and one of repeated rows."""
-    uid = docs.withColumn("__uid", F.monotonically_increasing_id())
-    keyed = uid.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__uid").alias("uid")).alias("__row"), text_col)
-    kept = labelled(written(fingerprints(keyed, "__row", text_col, shingle), "fingerprints", "slim"), "__row", distance)
-    kept = written(kept.where(F.col("__row") == F.col("component_id")).select(F.col("__row.uid").alias("__kept")), "kept")
-    # A merge join at every size: a broadcast of what stays would not scale with it.
-    return uid.join(kept.hint("merge"), F.col("__uid") == F.col("__kept"), "left_semi").select(*docs.columns)
+def _sketched(docs: DataFrame, text_at: int, shingle: int) -> DataFrame:
+    """``docs`` with each row's place (uid), the words of its wide fingerprint, and where
+    its set of shingles is (file, at, n); written once, so that all agree for good."""
+    spark = docs.sparkSession
+    folder = made(spark, f"{scratch(spark, 'shingles')}/sets")
+    words = [f"f{k}" for k in range(WIDE.words)]
+    more = [T.StructField(w, T.LongType()) for w in words]
+    more += [T.StructField("file", T.StringType()), T.StructField("at", T.LongType()), T.StructField("n", T.LongType())]
+    placed = docs.withColumn("uid", F.monotonically_increasing_id())
+
+    def run(batches):
+        out, uri, end = None, "", 0
+        for batch in sliced(batches):
+            if out is None:
+                # One file an attempt; only the rows of the attempt that counts name it.
+                uri = f"{folder}/{uuid.uuid4().hex}"
+                out = create(uri)
+            fps, at, n = [], [], []
+            for text in batch.column(text_at):
+                hashes = np.unique(hashes_of(text.as_py(), shingle))
+                fps.append(majority(hashes, WIDE.words))
+                own = np.unique((hashes >> np.uint64(32)).astype("<u4"))
+                out.write(own.tobytes())
+                at.append(end)
+                n.append(len(own))
+                end += len(own)
+            fps = np.stack(fps).view(np.int64)
+            new = [*(pa.array(np.ascontiguousarray(fps[:, k])) for k in range(WIDE.words)), pa.array([uri] * len(n), pa.string()), pa.array(at, pa.int64()), pa.array(n, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *words, "file", "at", "n"])
+        if out is not None:
+            out.close()
+
+    return written(placed.mapInArrow(run, T.StructType([*placed.schema.fields, *more])), "sketched", "all")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` that stay: of each component of rows whose sets of shingles
+    have at least ``similarity`` the row with the smallest id (null last), and one of
+    repeated rows.  Fingerprints that agree in all 256 bits are copies."""
+    columns = docs.columns
+    plain = [f"c{k}" for k in range(len(columns))]
+    sketched = _sketched(docs.toDF(*plain), columns.index(text_col), shingle)
+    own_id = F.col(plain[columns.index(id_col)])
+    words = [f"f{k}" for k in range(WIDE.words)]
+    rank = F.struct(own_id.isNull().alias("none"), own_id.alias("id"), "uid", "file", "at", "n")
+    first = written(sketched.groupBy(*words).agg(F.min(rank).alias("first")), "distinct")
+    nodes = first.select(F.col("first.uid").alias("node"), *words, "first.file", "first.at", "first.n")
+    found = components(links(nodes, WIDE, lambda: Similar(similarity)))
+    rooted = first.select("first").join(found, F.col("first.uid") == F.col("node"), "left")
+    lowest = rooted.groupBy(F.coalesce("root", "first.uid").alias("root")).agg(F.min("first").alias("low"))
+    # What stays is a bit a row; the table of bitmaps is broadcast only while it is small.
+    bits = lowest.groupBy(F.floor(F.col("low.uid") / _BITMAP).cast("long").alias("block"))
+    bits = written(bits.agg(F.bitmap_construct_agg(F.col("low.uid") % _BITMAP).alias("bits")), "kept")
+    kept = sketched.withColumn("of", F.floor(F.col("uid") / _BITMAP).cast("long")).join(bits, F.col("of") == F.col("block"))
+    bit = F.expr(f"shiftright(cast(conv(hex(substring(bits, cast(uid % {_BITMAP} div 8 as int) + 1, 1)), 16, 10) as int), cast(uid % 8 as int)) & 1")
+    return kept.where(bit == 1).select(*plain).toDF(*columns)

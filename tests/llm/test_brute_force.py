@@ -213,34 +213,121 @@ def test_simhash(spark):
     fps = [plain_fingerprint(t) for t in texts]
     assert [got[i].fingerprint for i in range(len(texts))] == [f"{f:016x}" for f in fps]
     assert [got[i].component_id for i in range(len(texts))] == plain_components(fps)
-    left = sorted(r.doc_id for r in simhash.one_of_each(frame(spark, texts)).collect())
-    assert left == sorted(set(plain_components(fps)))
 
 
-@pytest.mark.parametrize("block", [3, 4096])
-def test_links_of_dense_and_random_fingerprints(spark, block):
+def fingerprint_frame(spark, fps):
+    return spark.createDataFrame([(int(np.uint64(f).astype(np.int64)),) * 2 for f in fps], "node long, f0 long")
+
+
+def partition_of(roots):
+    groups = defaultdict(set)
+    for node, root in roots:
+        groups[root].add(node)
+    return sorted(map(sorted, groups.values()))
+
+
+@pytest.mark.parametrize("block", [3, 1 << 20])
+@pytest.mark.parametrize("distance", [1, 4])
+def test_links_of_dense_and_random_fingerprints(spark, block, distance):
+    from onomast.operators.components import components
+
     rng = random.Random(9)
     fps = {rng.getrandbits(64) for _ in range(60)}
     centre = rng.getrandbits(64)
     fps |= {centre ^ sum(1 << rng.randrange(64) for _ in range(rng.randrange(9))) & (2**64 - 1) for _ in range(150)}
+    # Chains that differ in each segment, so that only its neighbours' tables have them.
+    for _ in range(15):
+        f = rng.getrandbits(64)
+        fps |= {f, f ^ 1 << rng.randrange(21) ^ 1 << 21 + rng.randrange(21) ^ 3 << 42 + rng.randrange(21)}
     fps = sorted(fps)
-    table = spark.createDataFrame([(int(np.uint64(f).astype(np.int64)),) for f in fps], "fp long")
-    from onomast.operators.components import components
+    made = simhash.links(fingerprint_frame(spark, fps), simhash.complete_plan(distance), block=block)
+    found = {r.node % 2**64: r.root % 2**64 for r in components(made).collect()}
+    mine = plain_components(fps, distance)
+    assert partition_of(zip(fps, mine, strict=True)) == partition_of((f, found.get(f, f)) for f in fps)
 
-    found = {r.node % 2**64: r.root % 2**64 for r in components(simhash.links(table, 4, block)).collect()}
-    mine = plain_components(fps)
-    groups, ours = defaultdict(set), defaultdict(set)
-    for i, f in enumerate(fps):
-        groups[mine[i]].add(f)
-        ours[found.get(f, f)].add(f)
-    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, ours.values()))
 
+@pytest.mark.parametrize("distance", range(9))
+def test_complete_plans_cover_the_distance(distance):
+    plan = simhash.complete_plan(distance)
+    assert sum(r + 1 for *_, r in plan.segments) == distance + 1
+    if distance >= 3:  # balls are enumerated at every size
+        assert max(r for *_, r in plan.segments) >= 1
+
+
+def test_without_balls_links_are_lost(spark):
+    rng = random.Random(3)
+    fps = [rng.getrandbits(64) for _ in range(50)]
+    fps += [f ^ 1 << 5 ^ 1 << 30 ^ 3 << 50 for f in fps]
+    plan = simhash.complete_plan(4)
+    bare = simhash.Plan(1, 4, tuple((w, s, b, 0) for w, s, b, _ in plan.segments))
+    frame_ = fingerprint_frame(spark, fps)
+    assert simhash.links(frame_, plan).count() == 50 and simhash.links(frame_, bare).count() == 0
+
+
+def plain_similar(texts, similarity=0.8, size=5):
+    """The smallest row that links of Jaccard similarity reach, for each text."""
+    sets = []
+    for t in texts:
+        words = (t or "").lower().split()
+        sets.append({" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set())
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a == sets[j] or len(a & sets[j]) >= similarity * len(a | sets[j]):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return [find(i) for i in range(len(texts))]
+
+
+def test_one_of_each_keeps_one_of_similar_texts(spark):
+    rng = random.Random(8)
+    texts = [None, "", "one", "One", "one two three"]
+    for _ in range(40):
+        base = [f"w{rng.randrange(4000)}" for _ in range(rng.choice([12, 60, 300]))]
+        texts.append(" ".join(base))
+        for edits in (1, 2, 5, 9):  # similarities on both sides of 0.8
+            words = base[:]
+            for _ in range(edits):
+                words[rng.randrange(len(words))] = "zz"
+            texts.append(" ".join(words))
+    got = sorted(r.doc_id for r in simhash.one_of_each(frame(spark, texts)).collect())
+    want = set(plain_similar(texts))
+    assert want <= set(got)  # nothing goes that has no similar text
+    assert len(set(got) - want) <= 0.02 * len(texts)
+    assert 45 < len(want) < len(texts) - 60
+
+
+def test_one_of_each_on_documents(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
+    want = {rows[i].doc_id for i in plain_similar([r.text for r in rows])}
+    got = {r.doc_id for r in simhash.one_of_each(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()}
+    assert want <= got and len(got - want) <= 0.02 * (len(rows) - len(want))
+
+
+@pytest.mark.parametrize("block", [16, 1 << 20])
+def test_similar_links_of_a_hot_group(spark, block):
+    """Variants of one text, in blocks or not: a forest, never all pairs."""
+    rng = random.Random(4)
+    base = [f"w{k}" for k in range(400)]
+    texts = []
+    for _ in range(150):
+        words = base[:]
+        words[rng.randrange(400)] = f"x{rng.randrange(9999)}"
+        texts.append(" ".join(words))
+    sketched = simhash._sketched(frame(spark, texts).toDF("c0", "c1"), 1, 5)
+    nodes = sketched.selectExpr("uid as node", "f0", "f1", "f2", "f3", "file", "at", "n")
+    from onomast.operators.components import components
 
-@pytest.mark.parametrize("n", [10, 10**6, 10**9, 10**12])
-def test_segments_cover_the_distance(n):
-    for distance in (3, 4, 5):
-        plan = simhash.segments(n, distance)
-        assert sum(r + 1 for _, _, r in plan) == distance + 1 and sum(b for _, b, _ in plan) == 64
+    made = simhash.links(nodes, simhash.WIDE, lambda: simhash.Similar(0.8), block=block).cache()
+    assert components(made).select("root").distinct().count() == 1 and components(made).count() == 149
+    if block > 16:
+        assert made.count() <= 24 * 149
 
 
 # --- WARC -----------------------------------------------------------------------------------
