@@ -8,6 +8,10 @@ comparison, and a prefix scan over the blocks' separator counts and last
 separators gives each document its number in the file and the start it had in an
 earlier block.  Blocks are independent, so one huge file spreads over the cluster.
 
+Each attempt at a task writes a file of its own, and its rows of the manifest name it;
+they are written without a shuffle, so files of lost attempts are named by none and are
+not read.  Ids of a vocabulary beyond 16 bits are written with 32.
+
 Defined results: a null or empty text is a document of 0 tokens; tokens after the
 last separator of a file are a document of their own; repeated rows are repeated;
 an empty table gives an empty result; other columns are not read.
@@ -24,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from onomast.llm.files import create, dealt, listing, read_range, sliced
-from onomast.sources.scratch import scratch, written
+from onomast.sources.scratch import made, scratch, written
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: The published pre-tokenisation pattern of the byte-level vocabularies (fixed value).
@@ -49,11 +53,16 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 def write(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, end: int = END):
-    """(folder, manifest): the token files, and which document is which in them
-    (id, file, ordinal).  The vocabulary, some 50,000 entries, is broadcast."""
+    """(folder, manifest, dtype): the token files, which document is which in them
+    (id, file, ordinal), and the type of an id.  The vocabulary, some 50,000 entries, is
+    broadcast."""
     spark = docs.sparkSession
-    folder = scratch(spark, "tokens")
-    ranks = spark.sparkContext.broadcast(load_ranks(vocabulary))
+    folder = made(spark, f"{scratch(spark, 'tokens')}/files")
+    known = load_ranks(vocabulary)
+    if end in set(known.values()):
+        raise ValueError(f"{end} is a token of {vocabulary}")
+    dtype = "<u2" if max(end, *known.values()) < 1 << 16 else "<u4"
+    ranks = spark.sparkContext.broadcast(known)
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -61,10 +70,10 @@ def write(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
         for batch in sliced(batches):
             if out is None:
                 name = uuid.uuid4().hex
-                out, own = create(f"{folder}/files/{name}.tokens"), encoder(ranks.value, vocabulary)
+                out, own = create(f"{folder}/{name}.tokens"), encoder(ranks.value, vocabulary)
             for text in batch.column(1):
                 ids = own.encode_to_numpy(text.as_py() or "", disallowed_special=())
-                out.write(np.append(ids, end).astype(_DTYPE).tobytes())
+                out.write(np.append(ids, end).astype(dtype).tobytes())
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([name] * n, pa.string()), pa.array(np.arange(ordinal, ordinal + n))], names=[id_col, "file", "ordinal"]
@@ -73,21 +82,23 @@ def write(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
         if out is not None:
             out.close()
 
-    _make(spark, f"{folder}/files")
     manifest = docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, file string, ordinal long")
-    return f"{folder}/files", written(manifest, "token-manifest", "slim")
+    return folder, written(manifest, "token-manifest", "all"), dtype
 
 
-def _make(spark: SparkSession, folder: str) -> None:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
+def _name(path: str) -> str:
+    return f"regexp_extract({path}, '([^/]*?)([.][^./]*)?$', 1)"
 
 
-def scan(spark: SparkSession, folder: str, end: int = END, block_bytes: int = 8 << 20, dtype: str = _DTYPE) -> DataFrame:
-    """(file, ordinal, start, n_tokens) of every document in the token files of a folder."""
+def scan(spark: SparkSession, folder: str, end: int = END, block_bytes: int = 8 << 20, dtype: str = _DTYPE, files: DataFrame | None = None) -> DataFrame:
+    """(file, ordinal, start, n_tokens) of every document in the token files of a folder,
+    or in those that ``files`` (file) names."""
     width = np.dtype(dtype).itemsize
     step = max(width, block_bytes // width * width)
     found = listing(spark, folder).where("length > 0")
+    if files is not None:
+        found = found.join(files, F.expr(_name("path")) == F.col("file"), "left_semi")
+    found = written(found, "token-files")
     blocks = found.selectExpr("path", "length", f"posexplode(sequence(0L, length - 1, {step}L)) as (block, at)")
 
     def run(batches):
@@ -124,11 +135,13 @@ def scan(spark: SparkSession, folder: str, end: int = END, block_bytes: int = 8
     ends = rows.where("number = -1").groupBy("path").agg(F.sum("start").alias("ordinal"), (F.max("stop") + 1).alias("start"))
     tails = ends.join(found, "path").select("path", "ordinal", "start", (F.expr(f"length div {width}") - F.col("start")).alias("n_tokens"))
     out = inner.unionByName(tails.where("n_tokens > 0"))
-    return out.select(F.regexp_extract("path", r"([^/]*?)(\.[^./]*)?$", 1).alias("file"), "ordinal", "start", "n_tokens")
+    return out.select(F.expr(_name("path")).alias("file"), "ordinal", "start", "n_tokens")
 
 
 def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """(id, n_tokens) of every document, by way of token files."""
-    folder, manifest = write(docs, id_col, text_col, **kw)
-    found = scan(docs.sparkSession, folder).select("file", "ordinal", "n_tokens")
-    return manifest.join(found, ["file", "ordinal"], "left").select(id_col, "n_tokens")
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    folder, manifest, dtype = write(docs, "id", "text", **kw)
+    found = scan(docs.sparkSession, folder, kw.get("end", END), dtype=dtype, files=manifest.select("file").distinct())
+    found = found.select("file", "ordinal", "n_tokens")
+    return manifest.join(found, ["file", "ordinal"], "left").select(F.col("id").alias(id_col), "n_tokens")

@@ -57,6 +57,16 @@ def _head(page_id, url, size: int, digest: str, refers_to) -> bytes:
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + http
 
 
+def _packed(head: bytes, payload: memoryview):
+    """A record as pieces of one gzip member."""
+    packer = zlib.compressobj(3, zlib.DEFLATED, 31)
+    yield packer.compress(head)
+    for at in range(0, len(payload), _STEP):
+        yield packer.compress(payload[at : at + _STEP])
+    yield packer.compress(b"\r\n\r\n")
+    yield packer.flush()
+
+
 def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 1000) -> DataFrame:
     """Write all pages; returns the archives: (path, records)."""
     spark = pages.sparkSession
@@ -72,6 +82,7 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     folder = scratch(spark, "warc")
 
     def run(batches):
+        # One file an attempt and roll; only the rows of the attempt that counts name it.
         out, path, records, size = None, "", 0, 0
         for batch in batches:
             for i in range(batch.num_rows):
@@ -80,16 +91,9 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
                     out, records, size = create(path), 0, 0
                 page_id, url, digest, refers_to = (batch.column(k)[i].as_py() for k in (0, 1, 3, 4))
                 payload = memoryview(batch.column(2)[i].as_buffer() or b"")
-                packer = zlib.compressobj(3, zlib.DEFLATED, 31)
-                parts = [packer.compress(_head(page_id, url, len(payload), digest, refers_to))]
-                for at in range(0, 0 if refers_to is not None else len(payload), _STEP):
-                    parts.append(packer.compress(payload[at : at + _STEP]))
-                parts.append(packer.compress(b"\r\n\r\n"))
-                parts.append(packer.flush())
-                for part in parts:
-                    if part:
-                        out.write(part)
-                        size += len(part)
+                for part in _packed(_head(page_id, url, len(payload), digest, refers_to), payload if refers_to is None else payload[:0]):
+                    out.write(part)
+                    size += len(part)
                 records += 1
                 if size >= _ROLL:
                     out.close()
@@ -100,7 +104,8 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
             yield pa.RecordBatch.from_pydict({"path": [path], "records": pa.array([records], pa.int64())})
 
     out = rows.select("page_id", "url", "html", "digest", refers.alias("refers_to")).mapInArrow(run, "path string, records long")
-    return written(out, "archives", "slim")
+    # Written as it comes: a shuffle of names that a rerun makes anew could lose some.
+    return written(out, "archives", "all")
 
 
 _CHUNK_FIELDS = [
@@ -115,13 +120,14 @@ _CHUNK_FIELDS = [
     ("declared_digest", pa.string()),
     ("chunk_no", pa.int64()),
     ("start", pa.int64()),
+    ("length", pa.int64()),
     ("data", pa.binary()),
     ("digest", pa.string()),
     ("last", pa.bool_()),
 ]
 _CHUNK_SQL = (
     "path string, record_no long, record_id string, record_type string, page_id long, url string, refers_to_id string, "
-    "refers_to long, declared_digest string, chunk_no long, start long, data binary, digest string, last boolean"
+    "refers_to long, declared_digest string, chunk_no long, start long, length long, data binary, digest string, last boolean"
 )
 
 
@@ -139,8 +145,8 @@ def _fields(source) -> dict[str, str] | None:
     return fields
 
 
-def read_chunks(path: str, chunk_bytes: int):
-    """Rows of the chunk table of one archive, in order."""
+def read_chunks(path: str, chunk_bytes: int, with_data: bool = True):
+    """Rows of the chunk table of one archive, in order; ``data`` is null if it is not wanted."""
     with stream(path) as raw, gzip.GzipFile(fileobj=raw) as unpacked:
         number = 0
         while (head := _fields(unpacked)) is not None:
@@ -163,7 +169,7 @@ def read_chunks(path: str, chunk_bytes: int):
                     raise EOFError(f"{path} ends inside record {number}")
                 left -= len(data)
                 digest.update(data)
-                yield (*common, chunk_no, start, data, digest.hexdigest(), left == 0)
+                yield (*common, chunk_no, start, len(data), data if with_data else None, digest.hexdigest(), left == 0)
                 start += len(data)
                 chunk_no += 1
                 if not left:
@@ -171,7 +177,7 @@ def read_chunks(path: str, chunk_bytes: int):
             number += 1
 
 
-def chunks(archives: DataFrame, chunk_bytes: int = 1 << 20) -> DataFrame:
+def chunks(archives: DataFrame, chunk_bytes: int = 1 << 20, with_data: bool = True) -> DataFrame:
     """The record table of the archives in column ``path``: one row per chunk."""
 
     def table(rows) -> pa.RecordBatch:
@@ -182,9 +188,9 @@ def chunks(archives: DataFrame, chunk_bytes: int = 1 << 20) -> DataFrame:
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 rows, size = [], 0
-                for row in read_chunks(path, chunk_bytes):
+                for row in read_chunks(path, chunk_bytes, with_data):
                     rows.append(row)
-                    size += len(row[11]) + 500
+                    size += len(row[12] or b"") + 500
                     if size >= _FLUSH:
                         yield table(rows)
                         rows, size = [], 0
@@ -197,9 +203,9 @@ def chunks(archives: DataFrame, chunk_bytes: int = 1 << 20) -> DataFrame:
 def records(archives: DataFrame, chunk_bytes: int = 1 << 20) -> DataFrame:
     """One row per record with size and digest of the full payload; a revisit takes
     them from the record it refers to."""
-    ends = chunks(archives, chunk_bytes).where("last").select(
+    ends = chunks(archives, chunk_bytes, False).where("last").select(
         "record_id", "record_type", "page_id", "url", "refers_to_id", "refers_to", "declared_digest",
-        (F.col("start") + F.octet_length("data")).alias("size"), "digest",
+        (F.col("start") + F.col("length")).alias("size"), "digest",
     )
     ends = written(ends, "records", "slim")
     full = ends.where("record_type = 'response'").groupBy(F.col("record_id").alias("origin"))

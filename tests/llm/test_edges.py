@@ -7,7 +7,7 @@ from onomast.llm import chat, decontaminate, mixing, pii, quality, sharding, sim
 
 LONG = "lorem ipsum dolor " * 40_000 + "x" * 300_000 + " a@b.co " + "1" * 50_000
 #: Names that the operators use inside.
-CLASH = "row id key size order fp bucket role hot parts h0 h1 shard bytes kind start end value left base __marks2 source_key last whole path record_no host block".split()
+CLASH = "row id key size order fp bucket role hot parts h0 h1 shard bytes kind start end value left base __marks __items marks items c0 c1 __uid __row uid f0 file at __mix __times __copy copy source_key last whole path record_no host block".split()
 
 
 @pytest.fixture(scope="module")
@@ -54,10 +54,52 @@ def test_empty_benchmark(docs):
 
 
 def test_sharding_keeps_columns(docs):
-    keep = docs.drop("shard")
-    out = sharding.with_shards(keep)
-    assert out.columns == [*keep.columns, "shard"] and out.where("shard IS NULL").count() == 0
-    assert sharding.with_shards(keep.where("false")).count() == 0
+    out = sharding.with_shards(docs)
+    assert out.columns == [*(c for c in docs.columns if c != "shard"), "shard"] and out.where("shard IS NULL").count() == 0
+    assert out.schema["shard"].dataType.simpleString() == "string" and ids(out) == EXPECTED_IDS
+    assert sharding.with_shards(docs.where("false")).count() == 0
+
+
+def test_an_end_that_is_a_token_is_an_error(docs):
+    with pytest.raises(ValueError, match="is a token"):
+        tokens.counts(docs, end=100)
+
+
+def test_files_of_lost_attempts_are_not_read(spark, docs):
+    """A rerun writes other files; what an attempt that does not count has left is not read."""
+    folder, manifest, dtype = tokens.write(docs)
+    with open(f"{folder.removeprefix('file:')}/lost.tokens", "wb") as f:
+        f.write(b"\x01\x02\x03")
+    again, other, _ = tokens.write(docs)
+    rows = [sorted((r.ordinal, r.n_tokens) for r in tokens.scan(spark, f, dtype=dtype, files=m.select("file")).collect()) for f, m in ((folder, manifest), (again, other))]
+    assert rows[0] == rows[1] and len(rows[0]) == docs.count()
+
+
+def test_archives_come_back_alike_from_each_write(pages):
+    one, two = (sorted(map(str, warc.round_trip(pages).collect())) for _ in range(2))
+    assert one == two
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    from onomast.sources.scratch import shared_dir
+
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(Session)
+
+
+def test_rows_out_of_a_shuffle_have_one_place(docs):
+    """Places are written once, whatever order a rerun of the input would have."""
+    dealt = docs.repartition(3)
+    assert ids(pii.digest(pii.spans(dealt))) == EXPECTED_IDS
+    assert ids(sharding.with_shards(dealt)) == EXPECTED_IDS
+    assert simhash.one_of_each(dealt).count() == simhash.one_of_each(docs).count()
 
 
 @pytest.fixture(scope="module")
