@@ -59,27 +59,30 @@ def _valid(kind: Column, value: Column) -> Column:
 
 
 def mentions(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(row, kind, start, end, value, left, right) of every match of every kind in
-    ``docs`` (with the column ``row``); left ends where the match starts, right starts
-    where it ends, and both are text, whatever else matches in them."""
-    text = F.col(text_col)
-    some = docs.where(text.rlike("[0-9@]")).select("row", text.alias("text"))
-    kinds = [
+    """(row, id, kind, start, end, value, left, right) of every match of every kind in
+    ``docs`` (row, id and text), and a row of the kind "doc" for each document, which alone
+    has its id.  left ends where the match starts, right starts where it ends, and both are
+    text, whatever else matches in them."""
+    some = docs.select("row", "id", F.col(text_col).alias("text"))
+    may = F.coalesce(F.col("text").rlike("[0-9@]"), F.lit(False))
+    none = F.array().cast("array<string>")
+    kinds = [F.struct(F.lit("doc").alias("kind"), F.array(F.lit(""), F.lit("")).alias("pieces"), F.array(F.lit("")).alias("matches"))]
+    kinds += [
         F.when(
-            F.contains("text", F.lit(_NEEDS[k])),
+            may & F.contains("text", F.lit(_NEEDS[k])),
             F.struct(
                 F.lit(k).alias("kind"),
                 F.split("text", F.lit(r), -1).alias("pieces"),
                 F.regexp_extract_all("text", F.lit(r), 0).alias("matches"),
             ),
-        )
+        ).otherwise(F.struct(F.lit(k).alias("kind"), none.alias("pieces"), none.alias("matches")))
         for k, r in _REGEX.items()
     ]
-    found = some.select("row", F.explode(F.array(*kinds)).alias("k")).where("size(k.matches) > 0")
+    found = some.select("row", "id", F.explode(F.array(*kinds)).alias("k")).where("size(k.matches) > 0")
     pairs = F.arrays_zip(F.slice("k.pieces", F.lit(1), F.size("k.matches")).alias("piece"), F.col("k.matches").alias("match"), F.slice("k.pieces", F.lit(2), F.size("k.matches")).alias("next"))
-    found = found.select("row", "k.kind", F.posexplode(pairs).alias("at", "pair"))
+    found = found.select("row", F.when(F.col("k.kind") == "doc", F.col("id")).alias("id"), "k.kind", F.posexplode(pairs).alias("at", "pair"))
     found = found.select(
-        "row", "kind", "at", F.length("pair.piece").alias("gap"), F.length("pair.match").alias("n"),
+        "row", "id", "kind", "at", F.length("pair.piece").alias("gap"), F.length("pair.match").alias("n"),
         F.col("pair.match").alias("value"), F.right("pair.piece", F.lit(_BESIDE)).alias("before"), F.left("pair.next", F.lit(_BESIDE)).alias("after"),
     )
     # Two matches away is far enough for two words.
@@ -90,12 +93,14 @@ def mentions(docs: DataFrame, text_col: str = "text") -> DataFrame:
     found = found.withColumn("left", F.right(F.concat(*left, "before"), F.lit(_BESIDE))).withColumn("right", F.left(F.concat("after", *right), F.lit(_BESIDE)))
     end = F.sum(F.col("gap") + F.col("n")).over(order)
     found = found.withColumn("end", end).withColumn("start", F.col("end") - F.col("n"))
-    return found.where(_valid(F.col("kind"), F.col("value"))).select("row", "kind", "start", "end", "value", "left", "right")
+    return found.where(_valid(F.col("kind"), F.col("value"))).select("row", "id", "kind", "start", "end", "value", "left", "right")
 
 
 def _free(found: DataFrame) -> DataFrame:
-    """Base spans, and the words that overlap none of them, without the marks around."""
-    base = F.col("kind") != "word"
+    """Documents, base spans, and the words that overlap none of those, without the marks
+    around.  One projection, so that the texts are searched once."""
+    word = F.col("kind") == "word"
+    base = ~F.col("kind").isin("word", "doc")
     ahead = Window.partitionBy("row").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     back = Window.partitionBy("row").orderBy(F.desc("start"), F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
     marked = found.withColumn("upto", F.max(F.when(base, F.col("end"))).over(ahead))
@@ -104,10 +109,11 @@ def _free(found: DataFrame) -> DataFrame:
     marks = r"^(?:(?!\([0-9]++\)[\x20.-]?[0-9])[^\p{L}\p{N}])++"  # "(555) 555" keeps its brackets
     core = F.regexp_replace("value", marks + r"|[^\p{L}\p{N}]++$", "")
     lead = F.length("value") - F.length(F.regexp_replace("value", marks, ""))
-    words = marked.where(~base & clear).withColumn("start", F.col("start") + lead).withColumn("value", core)
-    words = words.withColumn("end", F.col("start") + F.length("value")).where("end > start")
-    columns = ["row", "kind", "start", "end", "value", "left", "right"]
-    return marked.where(base).select(columns).unionByName(words.select(columns))
+    start = F.when(word, F.col("start") + lead).otherwise(F.col("start"))
+    value = F.when(word, core).otherwise(F.col("value"))
+    end = F.when(word, start + F.length(core)).otherwise(F.col("end"))
+    kept = marked.where(~word | clear).select("row", "id", "kind", start.alias("start"), end.alias("end"), value.alias("value"), "left", "right")
+    return kept.where((F.col("kind") != "word") | (F.col("end") > F.col("start")))
 
 
 def _patterns() -> Column:
@@ -133,7 +139,7 @@ def _patterns() -> Column:
 
 def learned(free: DataFrame, support: int, confident: float, rounds: int) -> DataFrame:
     """(pattern, value, kind) that the pattern-value graph vouches for."""
-    seen = free.select(F.explode(_patterns()).alias("p"), "kind", F.lower("value").alias("value")).select("p.pattern", "p.far", "kind", "value")
+    seen = free.where("kind <> 'doc'").select(F.explode(_patterns()).alias("p"), "kind", F.lower("value").alias("value")).select("p.pattern", "p.far", "kind", "value")
     short = F.substring("pattern", 2, 1) == "1"
     varied = seen.where(short & F.col("far").isNotNull() & (F.col("kind") != "word")).select("pattern", "far").distinct()
     varied = varied.groupBy("pattern").count().where(F.col("count") >= support).select("pattern")
@@ -164,7 +170,7 @@ def spans(
     free = written(_free(mentions(rows)), "mentions")
     known = learned(free, support, confident, rounds).select("pattern", F.col("value").alias("known"), F.col("kind").alias("of"))
     number = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int") - 1
-    base = free.where("kind <> 'word'").select("row", F.struct(number.alias("no"), "start", "end", F.lit(True).alias("base")).alias("span"))
+    base = free.where("kind not in ('word', 'doc')").select("row", F.struct(number.alias("no"), "start", "end", F.lit(True).alias("base")).alias("span"))
     words = free.where("kind = 'word'").select("row", "start", "end", F.lower("value").alias("value"), F.explode(_patterns()).alias("p"))
     words = words.select("row", "start", "end", "value", "p.pattern")
     new = words.join(known, (words["pattern"] == known["pattern"]) & (F.col("value") == F.col("known"))).select("row", "start", "end", F.col("of").alias("kind"))
@@ -172,7 +178,7 @@ def spans(
     new = new.select("row", F.struct(number.alias("no"), "start", "end", F.lit(False).alias("base")).alias("span"))
     hits = base.unionByName(new)
     # One shuffle brings ids and spans together; a document without spans has its own row only.
-    every = rows.select("row", F.struct("id").alias("own"), F.lit(None).cast(hits.schema["span"].dataType).alias("span"))
+    every = free.where("kind = 'doc'").select("row", F.struct("id").alias("own"), F.lit(None).cast(hits.schema["span"].dataType).alias("span"))
     every = every.unionByName(hits.select("row", F.lit(None).cast(every.schema["own"].dataType).alias("own"), "span"))
     both = every.groupBy("row").agg(F.first("own", ignorenulls=True).alias("own"), F.sort_array(F.collect_list("span")).alias("found"))
     return both.select(F.col("own.id").alias(id_col), "found")
