@@ -13,7 +13,7 @@ cannot split and is a shard of its own.
 
 Defined results: null text has 0 bytes; null ids hash by their text; an empty
 table gives no shards; other columns are not read (``with_shards`` passes them
-on).
+on, but a column ``shard`` of the input gives way to the new one).
 """
 
 from __future__ import annotations
@@ -45,7 +45,6 @@ def directory(rows: DataFrame, limit: int) -> DataFrame:
 
     Level 0 uses the bits of h0, level 1 those of h1 below one full h0 (``base``).
     """
-    rows = written(rows.select("h0", "h1", "bytes"), "rows", "slim")
     total = rows.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     found: DataFrame | None = None
     left, level, fixed = rows.withColumn("base", F.lit(0).cast("long")).withColumn("h", F.col("h0")), 0, 0
@@ -84,39 +83,61 @@ def directory(rows: DataFrame, limit: int) -> DataFrame:
 
 
 def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with h0 and h1, written once: a row's place is the same for good."""
     place = F.xxhash64(F.monotonically_increasing_id())
     return docs.withColumn("h0", _hash(id_col, text_col)).withColumn("h1", place)
 
 
+def _cells(entries: DataFrame, keys: list[str], cut: Column) -> DataFrame:
+    """``entries`` (keys, depth, prefix, ...) gathered below the prefix of ``cut`` bits that
+    they share.  Hashes are even, so a cell at the depth of the highest entry holds few."""
+    cell = F.call_function("shiftrightunsigned", F.col("prefix"), (F.col("depth") - cut).cast("int"))
+    cell = F.when(cut == 0, F.lit(0).cast("long")).otherwise(cell)
+    own = F.struct(*[c for c in entries.columns if c not in keys])
+    return entries.groupBy(*keys, cell.alias("cell")).agg(F.collect_list(own).alias("entries"))
+
+
+def _entry(h: str) -> Column:
+    """The one entry of a cell that is a prefix of ``h``."""
+    return F.get(F.filter("entries", lambda e: e["prefix"] == _prefix(e["depth"], F.col(h))), 0)
+
+
 def _looked_up(rows: DataFrame, shards: DataFrame) -> DataFrame:
-    """``rows`` with ``shard``: one equality join per depth that the directory has."""
-    kinds = shards.select("level", "depth").distinct().orderBy("level", "depth").collect()  # at most 130
-    shard = F.lit(None).cast("string")
-    for k, (level, depth) in enumerate(kinds):
-        name = f"__shard{k}"
-        part = shards.where((F.col("level") == level) & (F.col("depth") == depth))
-        label = F.concat(F.lit(f"{level}-{depth}-"), F.lower(F.hex("prefix")), F.when(F.lit(level == 1), F.concat(F.lit("-"), F.lower(F.hex("base")))).otherwise(F.lit("")))
-        part = part.select(F.col("base").alias("__base"), F.col("prefix").alias("__prefix"), label.alias(name))
-        on = F.col("__prefix") == _prefix(depth, F.col("h1" if level else "h0"))
-        if level:
-            on = on & (F.col("__base") == F.col("h0"))
-        rows = rows.join(part, on, "left").drop("__base", "__prefix")
-        shard = F.coalesce(shard, F.col(name))
-    return rows.withColumn("shard", shard).drop(*[f"__shard{k}" for k in range(len(kinds))])
+    """``rows`` with ``shard``: one equality join by a cell of h0, and one more by a cell of
+    h1 where the directory has shards below a full h0."""
+    deep = shards.where("level = 1").select(F.col("base").alias("base"), "depth", "prefix")
+    cuts = written(deep.groupBy("base").agg(F.min("depth").alias("cut")), "cuts")
+    top = shards.where("level = 0").select("depth", "prefix", F.lit(None).cast("int").alias("cut"))
+    top = top.unionByName(cuts.select(F.lit(64).alias("depth"), F.col("base").alias("prefix"), F.col("cut").cast("int").alias("cut")))
+    least = top.agg(F.coalesce(F.min("depth"), F.lit(0))).first()[0]
+    cells = written(_cells(top, [], F.lit(least)), "cells")
+    found = rows.join(cells, _prefix(least, F.col("h0")) == F.col("cell"), "left").withColumn("e0", _entry("h0")).drop("cell", "entries")
+    name = F.concat(F.lit("0-"), F.col("e0.depth").cast("string"), F.lit("-"), F.lower(F.hex("e0.prefix")))
+    if not cuts.isEmpty():
+        below = _cells(deep.join(cuts, "base"), ["base", "cut"], F.col("cut"))
+        below = written(below.select("base", F.col("cell").alias("cell"), "entries"), "cells")
+        on = (F.col("h0") == F.col("base")) & (_prefix(F.col("e0.cut"), F.col("h1")) == F.col("cell"))
+        found = found.join(below, on, "left").withColumn("e1", _entry("h1")).drop("base", "cell", "entries")
+        lower = F.concat(F.lit("1-"), F.col("e1.depth").cast("string"), F.lit("-"), F.lower(F.hex("e1.prefix")), F.lit("-"), F.lower(F.hex("h0")))
+        name = F.when(F.col("e0.cut").isNull(), name).otherwise(lower)
+        return found.withColumn("shard", name).drop("e0", "e1")
+    return found.withColumn("shard", name).drop("e0")
 
 
 def shards_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 16 << 20) -> tuple[DataFrame, DataFrame]:
     """(rows, directory): id, bytes and shard of every document, without its text."""
-    rows = _marked(docs.select(id_col, text_col), id_col, text_col)
-    rows = written(rows.select(id_col, "h0", "h1", F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("bytes")), "hashed", "slim")
+    rows = _marked(docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")), "i", "t")
+    rows = written(rows.select("i", "h0", "h1", F.coalesce(F.octet_length("t"), F.lit(0)).cast("long").alias("bytes")), "hashed", "all")
     shards = directory(rows, limit)
-    return _looked_up(rows, shards).select(id_col, "bytes", "shard"), shards
+    return _looked_up(rows, shards).select(F.col("i").alias(id_col), "bytes", "shard"), shards
 
 
 def with_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 16 << 20) -> DataFrame:
-    """``docs`` with the column ``shard``."""
-    marked = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_col).alias("i"), F.col(text_col).alias("t"))
-    marked = _marked(marked, "i", "t").drop("i")
-    shards = directory(marked.select("h0", "h1", F.coalesce(F.octet_length("t"), F.lit(0)).cast("long").alias("bytes")), limit)
-    found = _looked_up(marked.drop("t"), shards)
-    return found.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns], "shard")
+    """``docs`` with the column ``shard``, in the place of one that it may have."""
+    columns = docs.columns
+    plain = [f"c{k}" for k in range(len(columns))]
+    at = {c: plain[k] for k, c in enumerate(columns)}
+    marked = written(_marked(docs.toDF(*plain), at[id_col], at[text_col]), "marked", "all")
+    shards = directory(marked.select("h0", "h1", F.coalesce(F.octet_length(at[text_col]), F.lit(0)).cast("long").alias("bytes")), limit)
+    kept = [c for c in columns if c != "shard"]
+    return _looked_up(marked, shards).select(*[F.col(at[c]).alias(c) for c in kept], "shard")
