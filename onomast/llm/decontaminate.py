@@ -124,16 +124,13 @@ def _blocks(items: DataFrame, id_col: str, text_col: str, window: int, block_wor
     yield out
 
 
-_FIELDS = "__marks binary, __items array<string>"
-
-
 def _pass(docs: DataFrame, text_at: int, searchers, first: bool) -> DataFrame:
-    """Add the hits of one pattern block to ``__marks`` and ``__items`` (the last two columns)."""
+    """Add the hits of one pattern block to ``marks`` and ``items`` (the last two columns)."""
     from pyspark.sql.types import ArrayType, BinaryType, StringType, StructField, StructType
 
     schema = docs.schema
     if first:
-        schema = StructType([*schema.fields, StructField("__marks", BinaryType()), StructField("__items", ArrayType(StringType()))])
+        schema = StructType([*schema.fields, StructField("marks", BinaryType()), StructField("items", ArrayType(StringType()))])
     names = schema.names
     own = docs.sparkSession.sparkContext.broadcast(searchers)
 
@@ -157,6 +154,10 @@ def _pass(docs: DataFrame, text_at: int, searchers, first: bool) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def _plain(docs: DataFrame) -> list[str]:
+    return [f"c{k}" for k in range(len(docs.columns))]
+
+
 def search(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -166,12 +167,13 @@ def search(
     window: int = 10,
     block_words: int = 4_000_000,
 ) -> DataFrame:
-    """``docs`` with ``__marks`` (a byte for each word, 1 if hit) and ``__items``.
+    """The columns of ``docs`` as c0, c1, ... (so that no name clashes), ``marks`` (a byte
+    for each word, 1 if hit) and ``items``.
 
     No shuffle: documents stream past the tables of one pattern block at a time.
     A block is broadcast only under its bound of ``block_words`` words.
     """
-    out, at = docs, docs.columns.index(text_col)
+    out, at = docs.toDF(*_plain(docs)), docs.columns.index(text_col)
     for k, block in enumerate(_blocks(benchmark, item_col, item_text_col, window, block_words)):
         if k:
             out = written(out, "decontaminate", "all")
@@ -181,24 +183,21 @@ def search(
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """One row per document: n_words, n_hit, the items found and a digest of them."""
-    found = search(docs.select(id_col, text_col), benchmark, text_col, **kw)
+    found = search(docs.select(F.col(id_col), F.col(text_col).alias("t")), benchmark, "t", **kw)
+    # Two hexadecimal digits a byte; those of unmarked words go.
+    n_hit = F.expr("length(regexp_replace(hex(marks), '00|(01)', '$1')) div 2")
     return found.select(
-        id_col,
-        F.octet_length("__marks").cast("long").alias("n_words"),
-        F.length(F.regexp_replace(F.hex("__marks"), "00|(01)", "$1")).cast("long").alias("n_hit2"),
-        F.col("__items").alias("items"),
-    ).select(
-        id_col,
-        "n_words",
-        F.expr("n_hit2 div 2").alias("n_hit"),
+        F.col("c0").alias(id_col),
+        F.octet_length("marks").cast("long").alias("n_words"),
+        n_hit.cast("long").alias("n_hit"),
         "items",
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-        (F.col("n_hit2") > 0).alias("contaminated"),
+        F.contains("marks", F.lit(b"\x01")).alias("contaminated"),
     )
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **kw) -> DataFrame:
     """The rows of ``docs`` without any hit, with the columns of ``docs``."""
     found = search(docs, benchmark, text_col, **kw)
-    return found.where(~F.contains("__marks", F.lit(b"\x01"))).select(*docs.columns)
+    return found.where(~F.contains("marks", F.lit(b"\x01"))).select(*_plain(docs)).toDF(*docs.columns)

@@ -159,8 +159,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     while it is below its own threshold.
     """
     _, sources = plan(docs, id_col, text_col, source_col, seed=seed, **kw)
-    s = sources.select(F.struct("source_key", "whole", "last").alias("__mix"))
-    times = F.col("__mix.whole") + (_order(id_col, text_col, seed) <= F.col("__mix.last")).cast("long")
-    joined = docs.join(s, F.col(source_col).eqNullSafe(F.col("__mix.source_key")))
-    repeated = joined.withColumn("__times", times.cast("int")).where("__times > 0")
-    return repeated.withColumn("__copy", F.explode(F.array_repeat(F.lit(True), F.col("__times")))).select(*docs.columns)
+    plain = [f"c{k}" for k in range(len(docs.columns))]
+    at = dict(zip(docs.columns, plain, strict=True))
+    times = _times(_order(at[id_col], at[text_col], seed))
+    joined = docs.toDF(*plain).join(sources, F.col(at[source_col]).eqNullSafe(F.col("source_key")))
+    repeated = joined.select(*plain, F.explode(F.array_repeat(F.lit(True), times.cast("int"))).alias("copy"))
+    return repeated.select(*plain).toDF(*docs.columns)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from onomast.llm.quality import QualityRules
-from tests.llm.test_brute_force import fill, plain_components, plain_fingerprint, plain_hits, plain_quality
+from tests.llm.test_brute_force import fill, plain_hits, plain_quality, plain_similar
 
 
 @pytest.fixture(scope="module")
@@ -25,7 +25,7 @@ def folder(spark, tmp_path_factory):
         copy[5] = "changed"
         texts += [texts[i], " ".join(copy)]
     texts += ["too short", "", None, "again and again " * 60]
-    texts += [f"{texts[40 + i]} {bench[i][1]} {word()}" for i in range(5)]
+    texts += [f"{' '.join(word() for _ in range(80))} {bench[i][1]} {word()}" for i in range(5)]
     rows = [(i, t, "en", rng.choice(["a", "a", "b", None]), len(t or "")) for i, t in enumerate(texts)]
     path = tmp_path_factory.mktemp("corpus")
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(path / "documents.parquet"))
@@ -51,7 +51,7 @@ def test_stages(spark, folder):
     good = [i for i, r in rows.items() if plain_quality(r[1], QualityRules())[8]]
     assert sorted(r.doc_id for r in outs[0].collect()) == good and len(good) < len(rows)
 
-    roots = plain_components([plain_fingerprint(rows[i][1]) for i in good])
+    roots = plain_similar([rows[i][1] for i in good])
     single = [good[k] for k in sorted(set(roots))]
     assert sorted(r.doc_id for r in outs[1].collect()) == single and len(single) < len(good)
 
