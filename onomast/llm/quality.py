@@ -34,15 +34,16 @@ class QualityRules:
     """min_words and max_repeat_pct are the base rules; the rest is the method's.
 
     Covered words also count in the base rule's repeated windows, so ``max_covered``
-    only says something well below that rule's half: 0.12 is the share that the
-    Gopher rules (Rae et al. 2021) allow to repeated runs of 8 words.  A quotation or
-    refrain may come twice; ``max_longest`` is the length of a whole paragraph.
+    only says something well below that rule's half: a quarter of the text, every
+    occurrence counted.  (A tenth would already reject a short page whose title stands
+    at its head and foot.)  A quotation or refrain may come twice; ``max_longest`` is
+    the length of a whole paragraph.
     """
 
     min_words: int = 50
     max_repeat_pct: int = 50
     min_repeat: int = 8
-    max_covered: float = 0.12
+    max_covered: float = 0.25
     max_longest: int = 100
 
 

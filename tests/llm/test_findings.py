@@ -15,13 +15,20 @@ def test_each_limit_of_the_suffix_array_rejects_by_itself():
         return " ".join(words)
 
     # (words, words of the passage that comes twice): whether the text stays
-    cases = {(200, 20): False, (200, 12): True, (2000, 450): False, (2000, 101): False, (2000, 100): True}
+    cases = {(200, 30): False, (200, 20): True, (2000, 450): False, (2000, 101): False, (2000, 100): True}
     got = quality.measure([text(*c) for c in cases], rules)
     assert not any(got["base_failed"])
     assert got["longest_repeat"] == [p for _, p in cases] and got["covered_words"] == [2 * p for _, p in cases]
     assert got["kept"] == list(cases.values())
     # the cases fail one limit alone as well as both
-    assert 2 * 20 > 0.12 * 200 and 20 <= rules.max_longest and 2 * 101 <= 0.12 * 2000 and 101 > rules.max_longest
+    assert 2 * 30 > rules.max_covered * 200 and 30 <= rules.max_longest and 2 * 101 <= rules.max_covered * 2000 and 101 > rules.max_longest
+
+
+def test_the_suffix_array_changes_verdicts_on_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    found = quality.quality(docs).where("not base_failed and not kept")
+    assert 0 < found.count() < 0.01 * docs.count()
+    assert quality.quality(docs, rules=quality.QualityRules(max_covered=1.0, max_longest=10**9)).where("kept = base_failed").count() == 0
 
 
 def test_template_text_in_marked_articles_goes():
