@@ -28,12 +28,7 @@ class _Record(NamedTuple):
     surname_key: str
 
 
-_FIELDS = ("given_words", "surname_words", "initials", "given_initial_spans", "generation", "surname_key")
-
-
-def _records(rows: pa.StructArray) -> list[_Record]:
-    columns = [rows.field(f).to_pylist() for f in _FIELDS]
-    return [_Record(g, s, i, [(x["start"], x["end"]) for x in spans], gen, key) for g, s, i, spans, gen, key in zip(*columns, strict=True)]
+PACKED_FIELDS = ("given_words", "surname_words", "initials", "given_initial_spans", "generation", "surname_key")
 
 
 def _verdicts(left: list, right: list, there: np.ndarray) -> pa.Array:
@@ -45,15 +40,9 @@ def _verdicts(left: list, right: list, there: np.ndarray) -> pa.Array:
     return pa.array(out, mask=~there)
 
 
-def agree_batch(left: pa.StructArray, right: pa.StructArray) -> pa.Array:
-    """The predicate on two columns of records, null where either is null."""
-    there = pc.and_(left.is_valid(), right.is_valid())
-    at = pc.indices_nonzero(there)
-    return _verdicts(_records(left.take(at)), _records(right.take(at)), there.to_numpy(zero_copy_only=False))
-
-
 def agree_packed(left: pa.StringArray, right: pa.StringArray) -> pa.Array:
-    """As ``agree_batch``, on packed records; each distinct one is unpacked once."""
+    """The predicate on two columns of packed records, null where either is null; each
+    distinct record is unpacked once."""
     there = pc.and_(left.is_valid(), right.is_valid()).to_numpy(zero_copy_only=False)
     sides = []
     for side in (left, right):
@@ -65,7 +54,7 @@ def agree_packed(left: pa.StringArray, right: pa.StringArray) -> pa.Array:
 
 def packed(p: Column) -> Column:
     """What the kernel needs of a record, as one string (null for no record)."""
-    return F.when(p.isNotNull(), F.to_json(F.struct(*[p[f].alias(f) for f in _FIELDS])))
+    return F.when(p.isNotNull(), F.to_json(F.struct(*[p[f].alias(f) for f in PACKED_FIELDS])))
 
 
 def _unpacked(text: str) -> _Record:

@@ -72,13 +72,13 @@ _FORMS = (
     rf"({_WORD}), ({_WORD})",
     rf"({_WORD}), ({_WORD}) {_LETTER}",
 )
-_PLAIN = f"^(?:{'|'.join(_FORMS)})$"
-_BETWEEN = "\u0001"
+PLAIN = f"^(?:{'|'.join(_FORMS)})$"
+BETWEEN = "\u0001"
 #: given, second given, initial and surname, from whichever form matched
-_PARTS = _BETWEEN.join(("$1$3$6$10$12", "$7", "$4$13", "$2$5$8$9$11"))
-_NOT_FIRST = sorted(TITLES)
-_NOT_MIDDLE = sorted(SURNAME_PREFIXES)
-_NOT_LAST = sorted({*GENERATION_FORMS, *SUFFIXES})
+PARTS = BETWEEN.join(("$1$3$6$10$12", "$7", "$4$13", "$2$5$8$9$11"))
+NOT_FIRST = sorted(TITLES)
+NOT_MIDDLE = sorted(SURNAME_PREFIXES)
+NOT_LAST = sorted({*GENERATION_FORMS, *SUFFIXES})
 
 
 def _natively(text: Column) -> tuple[Column, Column]:
@@ -86,10 +86,10 @@ def _natively(text: Column) -> tuple[Column, Column]:
 
     One regular expression both tells and takes apart; everything stays in generated code.
     """
-    parts = F.regexp_replace(text, F.lit(_PLAIN), F.lit(_PARTS))
-    given, second, letter, last = (F.split_part(parts, F.lit(_BETWEEN), F.lit(i)) for i in (1, 2, 3, 4))
+    parts = F.regexp_replace(text, F.lit(PLAIN), F.lit(PARTS))
+    given, second, letter, last = (F.split_part(parts, F.lit(BETWEEN), F.lit(i)) for i in (1, 2, 3, 4))
     short = (second == "") & (letter == "")
-    ordinary = ~given.isin(_NOT_FIRST) & ~second.isin(_NOT_MIDDLE) & ~last.isin(_NOT_LAST)
+    ordinary = ~given.isin(NOT_FIRST) & ~second.isin(NOT_MIDDLE) & ~last.isin(NOT_LAST)
     plain = (parts != text) & (short | ordinary)
     none = F.lit(None).cast("string")
     first_span = F.struct(F.lit(0).alias("start"), F.lit(1).alias("end"))

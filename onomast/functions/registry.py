@@ -1,18 +1,19 @@
 """SQL names of the functions.
 
 Kernels are registered as Arrow functions.  Accessors become SQL functions, so that
-Catalyst inlines them like any expression.
+Catalyst inlines them like any expression; ``parse_name`` and ``names_consistent`` are
+SQL functions too, that decide plain names natively as the column functions do and
+leave the rest to the kernels.
 """
 
 from __future__ import annotations
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from onomast.functions.matching import agree_batch
-from onomast.functions.names import NAME_SCHEMA, parse_batch
+from onomast.functions.matching import PACKED_FIELDS, agree_packed
+from onomast.functions.names import BETWEEN, NAME_SCHEMA, NOT_FIRST, NOT_LAST, NOT_MIDDLE, PARTS, PLAIN, parse_batch
 from onomast.functions.worker import ready, shared_table
 
 _TYPE = NAME_SCHEMA.simpleString()
@@ -44,8 +45,37 @@ ACCESSORS = {
 }
 
 
+def _words(words: list[str]) -> str:
+    return ", ".join("'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'" for w in words)
+
+
+_GIVEN_PART, _SECOND, _LETTER, _LAST = (f"split_part(parts, '{BETWEEN}', {i})" for i in (1, 2, 3, 4))
+_ORDINARY = f"{_GIVEN_PART} NOT IN ({_words(NOT_FIRST)}) AND {_SECOND} NOT IN ({_words(NOT_MIDDLE)}) AND {_LAST} NOT IN ({_words(NOT_LAST)})"
+#: Whether a text with its ``parts`` has a plain form.
+_IS_PLAIN = f"coalesce(parts <> t AND (({_SECOND} = '' AND {_LETTER} = '') OR ({_ORDINARY})), false)"
+_PLAIN_RECORD = f"""named_struct(
+    'given_words', if({_SECOND} = '', array({_GIVEN_PART}), array({_GIVEN_PART}, {_SECOND})),
+    'surname_words', array({_LAST}),
+    'initials', concat(substring({_GIVEN_PART}, 1, 1), substring({_SECOND}, 1, 1), {_LETTER}),
+    'given_initial_spans', if({_SECOND} = '', array(named_struct('start', 0, 'end', 1)), array(named_struct('start', 0, 'end', 1), named_struct('start', 1, 'end', 2))),
+    'display_name', concat_ws(' ', {_GIVEN_PART}, nullif({_SECOND}, ''), if({_LETTER} <> '', concat({_LETTER}, '.'), null), {_LAST}),
+    'generation', cast(null as int), 'honorific_prefix', cast(null as string), 'honorific_suffix', cast(null as string),
+    'surname_key', reverse(lower(right({_LAST}, 4))))"""
+_FEATURES = """named_struct('key', p.surname_key, 'generation', p.generation,
+    'surname', if(size(p.surname_words) = 1 AND p.surname_words[0] RLIKE '^[A-Za-z]+$', lower(p.surname_words[0]), null),
+    'initial', if(p.initials RLIKE '^[A-Z]$', p.initials, null), 'given', size(p.given_words) > 0)"""
+_FEATURES_TYPE = "STRUCT<key: STRING, generation: INT, surname: STRING, initial: STRING, given: BOOLEAN>"
+_LONE = "(x.initial IS NOT NULL AND y.initial IS NOT NULL AND NOT (x.given AND y.given))"
+#: As ``native_verdict``: true or false where features tell, else null.
+_VERDICT = f"""CASE WHEN x.key IS NULL OR y.key IS NULL OR x.key <> y.key OR coalesce(x.generation <> y.generation, false) THEN false
+    WHEN x.surname <> y.surname THEN false WHEN {_LONE} AND x.initial <> y.initial THEN false
+    WHEN {_LONE} AND x.surname IS NOT NULL AND y.surname IS NOT NULL THEN true END"""
+
+
 def register(spark: SparkSession) -> list[str]:
     """Make the functions known to SQL for this session; returns their names."""
+    from onomast.operators.tokens import TokenRows  # operators import functions
+
     shared = shared_table()
 
     def parse(texts: pa.Array) -> pa.Array:
@@ -54,7 +84,7 @@ def register(spark: SparkSession) -> list[str]:
 
     def agree(left: pa.Array, right: pa.Array) -> pa.Array:
         ready(shared)
-        return pc.fill_null(agree_batch(left, right), False)
+        return agree_packed(left, right)
 
     def alike(left: pa.Array, right: pa.Array) -> pa.Array:
         from onomast.kernel.match import given_alike
@@ -63,9 +93,22 @@ def register(spark: SparkSession) -> list[str]:
         pairs = zip(left.to_pylist(), right.to_pylist(), strict=True)
         return pa.array([None if x is None or y is None else given_alike(x, y) for x, y in pairs], pa.bool_())
 
-    spark.udf.register("parse_name", F.arrow_udf(parse, NAME_SCHEMA))
-    spark.udf.register("names_consistent", F.arrow_udf(agree, "boolean"))
+    def function(name: str, arguments: str, kind: str, body: str) -> None:
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) RETURNS {kind} RETURN {body}")
+
+    # Not deterministic, so that no filter on a record runs the kernel again.
+    spark.udf.register("name_parse_kernel", F.arrow_udf(parse, NAME_SCHEMA).asNondeterministic())
+    spark.udf.register("name_agree_kernel", F.arrow_udf(agree, "boolean"))
     spark.udf.register("names_variants_match", F.arrow_udf(alike, "boolean"))
+    function("name_of_parts", "t STRING, parts STRING", _TYPE, f"coalesce(if({_IS_PLAIN}, {_PLAIN_RECORD}, null), name_parse_kernel(if({_IS_PLAIN}, null, t)))")
+    function("parse_name", "t STRING", _TYPE, f"name_of_parts(t, regexp_replace(t, r'{PLAIN}', '{PARTS}'))")
+    packed = "if({0} IS NULL, null, to_json(named_struct(" + ", ".join(f"'{f}', {{0}}.{f}" for f in PACKED_FIELDS) + ")))"
+    function("name_features", f"p {_TYPE}", _FEATURES_TYPE, _FEATURES)
+    function("name_verdict", f"x {_FEATURES_TYPE}, y {_FEATURES_TYPE}", "BOOLEAN", _VERDICT)
+    native = "name_verdict(name_features(a), name_features(b))"
+    unsure = [f"if({native} IS NULL, {packed.format(c)}, null)" for c in ("a", "b")]
+    function("names_consistent", f"a {_TYPE}, b {_TYPE}", "BOOLEAN", f"coalesce({native}, name_agree_kernel({', '.join(unsure)}), false)")
     for name, (kind, body) in ACCESSORS.items():
-        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(p {_TYPE}) RETURNS {kind} RETURN {body}")
-    return ["parse_name", "names_consistent", "names_variants_match", *ACCESSORS]
+        function(name, f"p {_TYPE}", kind, body)
+    spark.udtf.register("tokenize_name", TokenRows)
+    return ["parse_name", "names_consistent", "names_variants_match", "tokenize_name", *ACCESSORS]

@@ -40,8 +40,17 @@ def letter_count(word: str | Column) -> Column:
 
 
 def combining_count(word: str | Column) -> Column:
-    """Marks of a decomposed word."""
-    return F.length(F.regexp_replace(_col(word), r"\P{Mn}", ""))
+    """Characters of a decomposed word whose combining class is not 0 (which is less than
+    category Mn: some vowel signs have class 0)."""
+
+    def kernel(texts: pa.Array) -> pa.Array:
+        from onomast.kernel.text import combining
+
+        coded = texts.dictionary_encode()
+        known = [None if t is None else sum(map(combining, t)) for t in coded.dictionary.to_pylist()]
+        return pa.array(known, pa.int32()).take(coded.indices)
+
+    return F.arrow_udf(kernel, "int")(_col(word))
 
 
 def folded(text: str | Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 _TYPE = pa.list_(pa.struct([("word", pa.string()), ("kind", pa.string()), ("cased", pa.string()), ("chars", pa.int32()), ("letters", pa.int32())]))
 
@@ -25,3 +26,17 @@ def name_tokens(text: str | Column) -> Column:
 
     schema = "array<struct<word:string,kind:string,cased:string,chars:int,letters:int>>"
     return F.arrow_udf(kernel, schema)(F.col(text) if isinstance(text, str) else text)
+
+
+@udtf(returnType="at int, word string, kind string, cased string, chars int, letters int")
+class TokenRows:
+    """Table function: a row for each token of a text (``LATERAL tokenize_name(text)``)."""
+
+    def eval(self, text: str):
+        from onomast.kernel.parse import START, tokenise
+        from onomast.kernel.text import mixed_case, normalised
+
+        if text is not None:
+            plain = normalised(text)
+            for at, x in enumerate(tokenise(plain, mixed_case(plain), START)):
+                yield at, x.word, x.kind, x.cased, x.chars, x.letters
