@@ -7,7 +7,7 @@ match, 1 for failure or no match, 64 for wrong usage.
 from __future__ import annotations
 
 import sys
-import tempfile
+from itertools import islice
 
 USAGE = "usage: onomast parse NAME... | parse - | eq NAME NAME | eq - NAME"
 
@@ -15,20 +15,22 @@ USAGE = "usage: onomast parse NAME... | parse - | eq NAME NAME | eq - NAME"
 def _session():
     from pyspark.sql import SparkSession
 
+    if (running := SparkSession.getActiveSession()) is not None:
+        return running
     spark = SparkSession.builder.appName("onomast").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
-def _input(spark):
-    """Standard input as (at, value) in line order."""
-    from pyspark.sql import functions as F
+#: Lines of standard input that are handed over at once.
+_LINES = 200_000
 
-    spool = tempfile.NamedTemporaryFile("w", suffix=".txt", delete=False, encoding="utf-8")
-    with spool:
-        spool.writelines(sys.stdin)
-    lines = spark.read.text(f"file://{spool.name}")
-    return lines.withColumn("at", F.monotonically_increasing_id())
+
+def _inputs(spark):
+    """Standard input as frames (at, value) of so many lines, in line order: lines travel
+    with the plan, no file of this machine is read by executors."""
+    while lines := list(islice(sys.stdin, _LINES)):
+        yield spark.createDataFrame([(i, line.rstrip("\r\n")) for i, line in enumerate(lines)], "at long, value string")
 
 
 def main(args: list[str]) -> int:
@@ -42,22 +44,22 @@ def main(args: list[str]) -> int:
     spark = _session()
     if args[0] == "parse":
         if args[1:] == ["-"]:
-            rows = _input(spark).orderBy("at").withColumn("p", parse_name("value"))
-            for row in records_as_lines(rows).toLocalIterator():
-                print(row.value)
+            for lines in _inputs(spark):
+                rows = lines.withColumn("p", parse_name("value")).orderBy("at")
+                for row in records_as_lines(rows).toLocalIterator():
+                    print(row.value)
             return 0
         line = records_as_lines(names_of(spark, " ".join(args[1:])).withColumn("p", parse_name("value"))).first().value
         print(line)
         return 0 if line else 1
     if args[1] == "-":
-        rows = _input(spark).withColumn("p", parse_name("value"))
-        try:
-            found = probe(rows, args[2])
-        except ValueError as e:
-            print(e, file=sys.stderr)
+        if names_of(spark, args[2]).select(parse_name("value").alias("p")).first().p is None:
+            print(f"not a name: {args[2]!r}", file=sys.stderr)
             return 1
-        for row in found.orderBy("at").toLocalIterator():
-            print(row.value.strip())
+        for lines in _inputs(spark):
+            found = probe(lines.withColumn("p", parse_name("value")), args[2])
+            for row in found.orderBy("at").toLocalIterator():
+                print(row.value.strip())
         return 0
     pair = spark.createDataFrame([(args[1], args[2])], "a string, b string").select(parse_name("a").alias("a"), parse_name("b").alias("b"))
     same = pair.select(names_consistent("a", "b")).first()[0]
