@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,7 +13,7 @@ from onomast import functions as N
 from onomast.functions import text as T
 from onomast.operators import block_sizes, dedupe, match_join, match_pairs, name_tokens, parse_stats, probe, surname_frequency
 from onomast.plans.ingredients import parsed_names, raw_names, sql
-from onomast.sources import records_as_lines
+from onomast.sources import matches_as_lines, read_lines, records_as_lines
 from onomast.sources.scratch import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -208,20 +210,50 @@ def long_lines_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.count_if(F.col("p").isNull()).alias("n"))
 
 
-@_query("documents_junk_parse")
+_LINES_OF = "SELECT unnest(string_split(text, chr(10))) AS line FROM {0}"
+
+
+@_query(
+    "documents_junk_parse",
+    "SELECT count(*) AS n_lines, CAST(0 AS BIGINT) AS too_long_names, CAST(0 AS BIGINT) AS names_without_surname, CAST(0 AS BIGINT) AS names_without_letters "
+    f"FROM ({_LINES_OF.format('documents')} UNION ALL {_LINES_OF.format('conversations')})",
+)
 def documents_junk_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Any line of prose may be parsed without error."""
+    """Any line of prose may be parsed without error, and what is taken for a name keeps to
+    the rules for names."""
     texts = [spark.read.parquet(f"{sf_dir}/{table}.parquet").select("text") for table in ("documents", "conversations")]
     lines = texts[0].unionByName(texts[1]).select(F.explode(F.split("text", "\n")).alias("line"))
-    return parse_stats(lines.withColumn("p", N.parse_name("line")))
+    rows = lines.withColumn("p", N.parse_name("line")).select("line", F.col("p").isNotNull().alias("name"), N.surname("p").alias("surname"))
+    return rows.agg(
+        F.count("*").alias("n_lines"),
+        F.count_if(F.col("name") & (F.octet_length("line") >= 1024)).alias("too_long_names"),
+        F.count_if(F.col("name") & (F.coalesce("surname", F.lit("")) == "")).alias("names_without_surname"),
+        F.count_if(F.col("name") & ~F.col("line").rlike(r"\p{IsAlphabetic}")).alias("names_without_letters"),
+    )
 
 
-@_query("tokenize_debug")
+_TOKEN_TEXT = "{title} || ' ' || {given} || ' ' || {particled} || ' Jr.'"
+_TOKEN_SQL = sql(
+    "SELECT k, CAST(i AS INTEGER) AS \"at\", words[i + 1] AS word, "
+    "CASE words[i + 1] WHEN 'Dr.' THEN 'abbreviation' WHEN 'Jr.' THEN 'abbreviation' WHEN 'Mrs' THEN 'initials' ELSE 'name' END AS kind "
+    "FROM (SELECT k, words, unnest(range(len(words))) AS i FROM (SELECT c_custkey AS k, string_split(" + _TOKEN_TEXT + ", ' ') AS words FROM customer))"
+)
+
+
+@_query("tokenize_debug", _TOKEN_SQL)
 def tokenize_debug(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = raw_names(spark, sf_dir, "{title} || ' ' || {given} || ' ' || {particled} || ' Jr.'")
+    rows = raw_names(spark, sf_dir, _TOKEN_TEXT)
     return rows.select("k", F.posexplode(name_tokens("raw")).alias("at", "t")).select("k", "at", "t.word", "t.kind")
 
 
+@_query("tokenize_sql", _TOKEN_SQL)
+def tokenize_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens by the table function."""
+    N.register(spark)
+    raw_names(spark, sf_dir, _TOKEN_TEXT).createOrReplaceTempView("onomast_tokens")
+    return spark.sql("SELECT k, t.at, t.word, t.kind FROM onomast_tokens, LATERAL tokenize_name(raw) AS t")
+
+
 # --- natural columns -------------------------------------------------------------------------
 
 _CAP = "upper(substr({0}, 1, 1)) || substr({0}, 2)"
@@ -390,10 +422,10 @@ def surname_compound_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Facts about names in English use.
 _NICKNAMES = [
     *[(a, b, True) for a, b in (x.split() for x in (
-        "Edward Eddie", "Dot Dorothy", "Ann Agnes", "Ned Eddie", "Benny Benjamin", "Danny Daniel", "Rick Richard", "Dick Richard",
-        "Dave David", "Ken Kenny", "Bart Bartholomew", "Peggy Margaret", "Bill William", "Ted Theodore", "Kate Katherine"))],
+        "Peggy Margaret", "Bill William", "Ted Theodore", "Kate Katherine", "Jack John", "Hank Henry", "Chuck Charles", "Gus Augustus",
+        "Nell Eleanor", "Larry Lawrence", "Fritz Friedrich", "Phil Philippa", "Josie Josephine", "Tommy Thomas", "Bella Isabella"))],
     *[(a, b, False) for a, b in (x.split() for x in (
-        "Molly Annie", "Christopher Tina", "Jane John", "John Nathan", "Bobby Benjamin", "Rick Rachael", "Annette Johanna"))],
+        "Peggy Kate", "Bill Ted", "Jack James", "Hank Harriet", "Peter Paula", "Nell Nora", "Hugo Ruth"))],
 ]
 
 
@@ -541,6 +573,105 @@ def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_ALL_PARTS = "{title} || ' ' || {given} || ' ' || {middle} || ' ' || {surname} || ' ' || {generation} || ' PhD'"
+_SHOWN = "{given} || ' ' || {middle} || ' ' || {surname} || ', ' || {generation}"
+#: SQL function: (what it gives for _ALL_PARTS, what it gives for a plain name), as SQL
+_BY_FUNCTION = {
+    "name_surname": ("{surname}", "{surname}"),
+    "name_given": ("{given}", "{given}"),
+    "name_initials": ("substr({given}, 1, 1) || substr({middle}, 1, 1)", "substr({given}, 1, 1)"),
+    "name_first_initial": ("substr({given}, 1, 1)", "substr({given}, 1, 1)"),
+    "name_middle_initials": ("substr({middle}, 1, 1)", "NULL"),
+    "name_goes_by_middle": ("false", "false"),
+    "name_middle": ("{middle}", "NULL"),
+    "name_generation": ("{generation}", "NULL"),
+    "name_honorific_prefix": ("{titled}", "NULL"),
+    "name_honorific_suffix": ("'Ph.D.'", "NULL"),
+    "name_display_first_last": ("{given} || ' ' || {surname}", "{given} || ' ' || {surname}"),
+    "name_display_initial_surname": ("substr({given}, 1, 1) || '. ' || {surname}", "substr({given}, 1, 1) || '. ' || {surname}"),
+    "name_display_full": (_SHOWN, "{given} || ' ' || {surname}"),
+    "name_display_full_with_honorifics": ("{titled} || ' ' || " + _SHOWN + " || ' Ph.D.'", "{given} || ' ' || {surname}"),
+    "name_byte_len": (f"CAST(strlen({_SHOWN}) AS INTEGER)", "CAST(strlen({given} || ' ' || {surname}) AS INTEGER)"),
+    "surname_key": ("reverse(right(lower({surname}), 4))", "reverse(right(lower({surname}), 4))"),
+}
+
+
+@_query(
+    "sql_accessors",
+    sql("SELECT c_custkey AS k, " + ", ".join(f"CASE {{k}} % 2 WHEN 0 THEN {a} ELSE {b} END AS {f}" for f, (a, b) in _BY_FUNCTION.items()) + " FROM customer"),
+)
+def sql_accessors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every accessor by its SQL name, on names that reach the kernel and on plain ones."""
+    N.register(spark)
+    raw_names(spark, sf_dir, f"CASE {{k}} % 2 WHEN 0 THEN {_ALL_PARTS} ELSE {_FULL} END").createOrReplaceTempView("onomast_names")
+    calls = ", ".join(f"{f}(p) AS {f}" for f in _BY_FUNCTION)
+    return spark.sql(f"SELECT k, {calls} FROM (SELECT k, parse_name(raw) AS p FROM onomast_names)")
+
+
+@_query("sql_surname_hash", sql("SELECT count(*) AS n, count(DISTINCT right({surname}, 4)) AS keys, count(DISTINCT right({surname}, 4)) AS hashes, CAST(0 AS BIGINT) AS unequal FROM customer"))
+def sql_surname_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashes tell surname keys apart and no more."""
+    N.register(spark)
+    raw_names(spark, sf_dir, _MANY).createOrReplaceTempView("onomast_names")
+    return spark.sql(
+        "SELECT sum(n) AS n, count(DISTINCT key) AS keys, count(DISTINCT hash) AS hashes, count(*) - count(DISTINCT key) AS unequal FROM "
+        "(SELECT surname_key(p) AS key, surname_hash(p) AS hash, count(*) AS n FROM (SELECT parse_name(raw) AS p FROM onomast_names) GROUP BY 1, 2)"
+    )
+
+
+@_query("sql_consistent", sql("SELECT c_custkey AS k, true AS initial, c_custkey % 2 = 0 AS generation, true AS given FROM customer"))
+def sql_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicates by their SQL names."""
+    N.register(spark)
+    forms = "{given} || ' ' || {surname} || ' III', substr({given}, 1, 1) || '. ' || {surname}, {surname} || ', ' || {given} || CASE {k} % 2 WHEN 0 THEN ' III' ELSE ' Jr.' END"
+    raw_names(spark, sf_dir, f"array({forms})").createOrReplaceTempView("onomast_names")
+    return spark.sql(
+        "SELECT k, names_consistent(a, b) AS initial, names_consistent(a, c) AS generation, names_variants_match(name_given(a), name_given(c)) AS given FROM "
+        "(SELECT k, parse_name(raw[0]) AS a, parse_name(raw[1]) AS b, parse_name(raw[2]) AS c FROM onomast_names)"
+    )
+
+
+# --- lines of text in and out ---------------------------------------------------------------------
+
+
+def _as_lines(spark: SparkSession, sf_dir: str, raw: str) -> DataFrame:
+    """The raw names written to files of text and read back, a name a line."""
+    folder = f"{scratch(spark, 'lines')}/text"
+    raw_names(spark, sf_dir, raw).select("raw").write.text(folder)
+    return read_lines(spark, folder)
+
+
+@_query("lines_parse", ORACLES["json_lines"])
+def lines_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``parse -``: lines of names in, a JSON line each out, empty where there is no name."""
+    raw = "CASE {k} % 5 WHEN 0 THEN {given} ELSE '  ' || {given} || ' ' || {surname} || ' ' || {generation} || ' ' END"
+    lines = _as_lines(spark, sf_dir, raw).withColumn("p", N.parse_name("value"))
+    folder = f"{scratch(spark, 'lines')}/json"
+    records_as_lines(lines).write.text(folder)
+    return read_lines(spark, folder)
+
+
+@_query("lines_match", sql("SELECT {surname} || ', ' || {given} AS value FROM customer WHERE {surname} = 'Hudson' AND {given} = 'Julia'"))
+def lines_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``eq - NAME``: the lines that match a name, as they are."""
+    lines = _as_lines(spark, sf_dir, "'  ' || {surname} || ', ' || {given} || ' '").withColumn("p", N.parse_name("value"))
+    folder = f"{scratch(spark, 'lines')}/found"
+    matches_as_lines(probe(lines, "JULIA HUDSON")).write.text(folder)
+    return read_lines(spark, folder)
+
+
+@_query("exit_status", "SELECT * FROM (VALUES ('parse Jane Doe', 0), ('parse xyz', 1), ('eq', 64), ('eq -', 64), ('eq Jane Doe|J. Doe', 0), ('eq Jane Doe|John Doe', 1)) AS t(arguments, status)")
+def exit_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the command line's calls end with."""
+    from onomast.cli import main
+
+    calls = {"parse Jane Doe": ["parse", "Jane", "Doe"], "parse xyz": ["parse", "xyz"], "eq": ["eq"], "eq -": ["eq", "-"]}
+    calls |= {"eq Jane Doe|J. Doe": ["eq", "Jane Doe", "J. Doe"], "eq Jane Doe|John Doe": ["eq", "Jane Doe", "John Doe"]}
+    with contextlib.redirect_stdout(io.StringIO()), contextlib.redirect_stderr(io.StringIO()):
+        rows = [(c, main(a)) for c, a in calls.items()]
+    return spark.createDataFrame(rows, "arguments string, status int")
+
+
 @_query("stream_parse", sql("SELECT c_custkey AS k, {given} AS given_name, {surname} AS surname FROM customer"))
 def stream_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The customers as a stream, parsed and written by a streaming query."""

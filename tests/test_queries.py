@@ -38,6 +38,12 @@ def test_query(spark, duck, name):
         assert len(got) > 0
 
 
+def test_junk_lines_are_of_documents_and_conversations(spark, tmp_path):
+    spark.createDataFrame([("Jane Doe\nJohn Smith",)], "text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("Ann Lee",)], "text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert tuple(QUERIES["documents_junk_parse"](spark, str(tmp_path)).first()) == (3, 0, 0, 0)
+
+
 def test_entry_points(spark):
     import __spark_entry__ as e
 
