@@ -86,14 +86,6 @@ def test_a_candidate_is_the_whole_number(spark):
     assert found(spark, texts + new)[20:] == [["(555) 555-0199"], ["555 0199"]]
 
 
-def test_junk_lines_are_of_documents_and_conversations(spark, tmp_path):
-    from onomast.plans import QUERIES
-
-    spark.createDataFrame([("Jane Doe\nJohn Smith",)], "text string").write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([("Ann Lee",)], "text string").write.parquet(f"{tmp_path}/conversations.parquet")
-    assert sum(QUERIES["documents_junk_parse"](spark, str(tmp_path)).first()) == 3
-
-
 def test_loss_is_read_from_under_the_mask(spark):
     rows = spark.createDataFrame([(1, 0, "user", "ask"), (1, 1, "assistant", "a </s> b"), (1, 2, "assistant", "c")], "conv_id long, turn int, role string, text string")
     made = chat.render(rows)
