@@ -4,11 +4,10 @@ A conversation is rendered as its turns in order, each
 
     <s>[ROLE]role[/ROLE]text</s>
 
-and parsed back by splitting at the control strings.  A turn whose role or text
-does not come back identical, or holds a bare control string (or its escaped form)
-that a reader could take for markup, is rendered again
-with a backslash put after the first character of each, and the
-result is parsed and compared once more.  Escaping adds one backslash to whatever
+and parsed back by a grammar: turns of just this form, whose role and text hold no bare
+control string, and nothing else.  A turn that the grammar rejects, or whose role or text
+does not come back identical, is rendered again with a backslash put after the first
+character of each control string, and the result is parsed and compared once more.  Escaping adds one backslash to whatever
 looks like a control string with any number of them, so it is undone by taking
 one away, and no escaped text holds a control string.
 
@@ -44,10 +43,19 @@ class Template:
         # "<<SYS>>" is covered by the "<" that is next to its name
         return tuple(dict.fromkeys(x.lstrip("<") if x.startswith("<<") else x[1:] for x in own))
 
+    @property
+    def _rest(self) -> str:
+        return "(" + "|".join(c.replace("[", r"\[").replace("]", r"\]") for c in self.control) + ")"
+
     @property
     def pattern(self) -> str:
         """A control string's first character, its backslashes, and the rest."""
-        return r"([<\[])(\\*)(" + "|".join(c.replace("[", r"\[").replace("]", r"\]") for c in self.control) + ")"
+        return r"([<\[])(\\*)" + self._rest
+
+    @property
+    def bare(self) -> str:
+        """A control string as it is."""
+        return r"[<\[]" + self._rest
 
 
 def escape(text: Column, t: Template) -> Column:
@@ -65,22 +73,30 @@ def _render(turn: Column, t: Template, escaped: Column) -> Column:
 
 
 def parse(formatted: Column, t: Template) -> Column:
-    """The turns of a rendered conversation: array of (role, text).
+    """The turns of a rendered conversation: array of (role, text); null for any text that
+    the grammar does not produce.
 
-    Splits at turn ends; a piece is a role up to the first role end, then text.
+    A text is turns, each the opening, a role, the role's end, a text and the turn's end;
+    roles and texts hold no bare control string, so pieces between turn ends are turns.
     """
     pieces = F.split(formatted, F.lit(f"\\Q{t.end}\\E"), -1)
-    pieces = F.slice(pieces, F.lit(1), F.size(pieces) - 1)
-    opening = len(t.begin + t.role_begin)
+    turns = F.slice(pieces, F.lit(1), F.size(pieces) - 1)
+    opening = t.begin + t.role_begin
 
-    def turn(piece: Column) -> Column:
+    def cut(piece: Column) -> Column:
         role = F.substring_index(piece, t.role_end, 1)
         return F.struct(
-            unescape(F.substring(role, opening + 1, 1 << 30), t).alias("role"),
-            unescape(F.substring(piece, F.length(role) + len(t.role_end) + 1, F.lit(1 << 30)), t).alias("text"),
+            (F.startswith(piece, F.lit(opening)) & F.contains(piece, F.lit(t.role_end))).alias("marked"),
+            F.substring(role, len(opening) + 1, 1 << 30).alias("role"),
+            F.substring(piece, F.length(role) + len(t.role_end) + 1, F.lit(1 << 30)).alias("text"),
         )
 
-    return F.transform(pieces, turn)
+    def fits(x: Column) -> Column:
+        return x["marked"] & ~x["role"].rlike(t.bare) & ~x["text"].rlike(t.bare)
+
+    found = F.transform(turns, cut)
+    good = (F.element_at(pieces, -1) == "") & F.forall(found, fits)
+    return F.when(good, F.transform(found, lambda x: F.struct(unescape(x["role"], t).alias("role"), unescape(x["text"], t).alias("text"))))
 
 
 def render(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", template: Template = Template()) -> DataFrame:
@@ -94,8 +110,7 @@ def render(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", r
     # the one turn it was.
     def conflicting(x: Column) -> Column:
         back = parse(_render(x, t, F.lit(False)), t)
-        same = (F.size(back) == 1) & (back[0]["role"] == x["role"]) & (back[0]["text"] == x["text"])
-        same = F.coalesce(same, F.lit(False)) & ~F.concat(x["role"], F.lit("\n"), x["text"]).rlike(t.pattern)
+        same = F.coalesce(back == F.array(F.struct(x["role"].alias("role"), x["text"].alias("text"))), F.lit(False))
         return F.struct(x["role"].alias("role"), x["text"].alias("text"), (~same).alias("escaped"))
 
     talks = talks.select("conv", F.transform("turns", conflicting).alias("turns"))

@@ -92,3 +92,31 @@ def test_loss_is_read_from_under_the_mask(spark):
     assert chat.summary(made).first().loss_chars == len("a </s> bc")
     none = made.withColumn("mask", F.transform("mask", lambda r: F.struct(r["n_chars"], F.lit(False).alias("in_loss"))))
     assert chat.summary(none).first().loss_chars == 0
+
+
+def test_the_grammar_rejects_what_it_does_not_produce(spark):
+    t = chat.Template()
+    good = "<s>[ROLE]user[/ROLE]a b</s><s>[ROLE]assistant[/ROLE]</s>"
+    bad = [
+        "x" + good, good + "x", good[:-1], good + "</s>", "<s>[ROLE]user a</s>", "<s>user[/ROLE]a</s>", "<s>[ROLE]user[/ROLE]a<s>b</s>",
+        "<s>[ROLE]us[INST]er[/ROLE]a</s>", "<s>[ROLE]user[/ROLE]a[/ROLE]b</s>", "<s>[ROLE]user[/ROLE]<<SYS>></s>",
+    ]
+    rows = spark.createDataFrame([(x,) for x in (good, "", *bad)], "x string").select("x", chat.parse(F.col("x"), t).alias("turns"))
+    got = {r.x: r.turns and [tuple(y) for y in r.turns] for r in rows.collect()}
+    assert got[good] == [("user", "a b"), ("assistant", "")] and got[""] == []
+    assert all(got[x] is None for x in bad)
+
+
+def test_a_shifted_mask_changes_the_loss(spark):
+    rows = spark.createDataFrame([(1, 0, "user", "ask"), (1, 1, "assistant", "answer")], "conv_id long, turn int, role string, text string")
+    made = chat.render(rows)
+    moved = made.withColumn("mask", F.expr("transform(mask, (r, i) -> struct(r.n_chars + if(i = 0, 1, 0) as n_chars, r.in_loss as in_loss))"))
+    one, two = chat.summary(made).first(), chat.summary(moved).first()
+    assert one.turns_sha256 == two.turns_sha256 and one.loss_sha256 != two.loss_sha256
+
+
+def test_very_long_turns(spark):
+    text = "[INST] <\\s> word </s>" * 20_000
+    rows = spark.createDataFrame([(1, 0, "user", text), (1, 1, "assistant", text)], "conv_id long, turn int, role string, text string")
+    got = chat.summary(chat.render(rows)).first()
+    assert got.loss_chars == len(text) and got.n_turns == 2
