@@ -8,12 +8,17 @@ from __future__ import annotations
 
 import atexit
 import shutil
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _DEFAULT = "/tmp/checkpoints/onomast"
-_made: list[tuple[object, str]] = []
+#: Seconds between collections of plans that are not used any more.
+_SWEEP_S = 20
+#: (session, folder, weak reference to the file index of the table in it)
+_made: list[tuple[object, str, object]] = []
+_swept = 0.0
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,30 +47,34 @@ def made(spark: SparkSession, path: str) -> str:
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh folder URI under the shared folder, removed when the session's JVM or the
-    process ends, or by ``release``."""
+    """A fresh folder URI under the shared folder.  It goes when it is dropped, when no
+    plan reads the table in it any more, or with the session's JVM or this process."""
+    _sweep(spark)
     path = made(spark, f"{shared_dir(spark)}/onomast-{label}-{uuid.uuid4().hex}")
     fs, p = _filesystem(spark, path)
     fs.deleteOnExit(p)
-    _made.append((spark, path))
+    _made.append((spark, path, None))
     return path
 
 
-def marked() -> int:
-    """A mark for ``release``."""
-    return len(_made)
-
-
-def release(mark: int, keep: int = 0) -> None:
-    """Drop the folders made since ``mark`` but the last ``keep``: for a caller that has
-    written its result and needs none of them again."""
-    gone = _made[mark : len(_made) - keep]
-    _made[mark : len(_made) - keep] = []
-    for spark, path in gone:
-        drop(spark, path)
+def _sweep(spark: SparkSession) -> None:
+    """Drop the tables that no plan of the session reads: every plan over a table shares
+    its file index, so the index is collected after the last of them."""
+    global _swept
+    if time.monotonic() - _swept < _SWEEP_S or not any(index is not None for *_, index in _made):
+        return
+    spark.sparkContext._jvm.System.gc()
+    for entry in list(_made):
+        owner, path, index = entry
+        if index is not None and owner.sparkContext is spark.sparkContext and index.get() is None:
+            _made.remove(entry)
+            drop(spark, path)
+    _swept = time.monotonic()
 
 
 def drop(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder that no plan needs again."""
+    _made[:] = [entry for entry in _made if entry[1] != path]
     fs, p = _filesystem(spark, path)
     fs.delete(p, True)
 
@@ -85,14 +94,18 @@ def written(df: DataFrame, label: str, rows: str = "few") -> DataFrame:
         df = df.coalesce(files)
     elif rows == "slim":
         df = df.repartition(files)
-    path = f"{scratch(spark, label)}/table"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    folder = scratch(spark, label)
+    df.write.parquet(f"{folder}/table")
+    out = spark.read.schema(df.schema).parquet(f"{folder}/table")
+    index = out._jdf.queryExecution().analyzed().relation().location()
+    _made[:] = [entry for entry in _made if entry[1] != folder]
+    _made.append((spark, folder, spark.sparkContext._jvm.java.lang.ref.WeakReference(index)))
+    return out
 
 
 @atexit.register
 def _tidy() -> None:
-    for spark, path in _made:
+    for spark, path, _ in list(_made):
         if path.startswith("file:"):
             shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
             continue
