@@ -38,7 +38,6 @@ them on).
 from __future__ import annotations
 
 import math
-import uuid
 from collections import OrderedDict
 from dataclasses import dataclass
 from itertools import combinations
@@ -46,13 +45,14 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from onomast.llm.files import create, opened, sliced
 from onomast.operators.components import components
-from onomast.sources.scratch import made, scratch, written
+from onomast.sources.scratch import drop, scratch, written
 
 _CHUNK = 255
 _PAIRS = 1 << 18
@@ -192,13 +192,13 @@ class Similar:
     """Pairs whose sets of shingles have at least a similarity are links; near pairs come
     first, and pairs that links join already are not compared."""
 
-    def __init__(self, similarity: float):
-        self.similarity = similarity
+    def __init__(self, similarity: float, folder: str):
+        self.similarity, self.folder = similarity, folder
         self.root: dict[int, int] = {}
         self.found: list[tuple[int, int]] = []
-        self.sets: OrderedDict[tuple[str, int], np.ndarray] = OrderedDict()
+        self.sets: OrderedDict[tuple[int, int], np.ndarray] = OrderedDict()
         self.held = 0
-        self.files: OrderedDict[str, object] = OrderedDict()
+        self.files: OrderedDict[int, object] = OrderedDict()
 
     def _find(self, x: int) -> int:
         root = self.root
@@ -206,23 +206,23 @@ class Similar:
             root[x] = x = root.get(up, up)
         return x
 
-    def _set(self, place: tuple[str, int, int]) -> np.ndarray:
-        uri, at, n = place
-        if (uri, at) in self.sets:
-            self.sets.move_to_end((uri, at))
-            return self.sets[uri, at]
-        if uri not in self.files:
-            self.files[uri] = opened(uri)
+    def _set(self, place: tuple[int, int, int]) -> np.ndarray:
+        file, at, n = place
+        if (file, at) in self.sets:
+            self.sets.move_to_end((file, at))
+            return self.sets[file, at]
+        if file not in self.files:
+            self.files[file] = opened(f"{self.folder}/{file}")
             if len(self.files) > 64:
                 self.files.popitem(last=False)[1].close()
-        self.files[uri].seek(4 * at)
-        own = self.sets[uri, at] = np.frombuffer(self.files[uri].read(4 * n), dtype="<u4")
+        self.files[file].seek(4 * at)
+        own = self.sets[file, at] = np.frombuffer(self.files[file].read(4 * n), dtype="<u4")
         self.held += own.nbytes
         while self.held > _CACHE and len(self.sets) > 1:
             self.held -= self.sets.popitem(last=False)[1].nbytes
         return own
 
-    def _alike(self, a: tuple[str, int, int], b: tuple[str, int, int]) -> bool:
+    def _alike(self, a: tuple[int, int, int], b: tuple[int, int, int]) -> bool:
         if a[2] > b[2]:
             a, b = b, a
         if a[2] < self.similarity * b[2]:
@@ -233,11 +233,11 @@ class Similar:
         return both >= self.similarity * (len(x) + len(y) - both)
 
     def add(self, node: np.ndarray, u: np.ndarray, v: np.ndarray, apart: np.ndarray, places: list) -> None:
-        uri, at, n = places
+        file, at, n = places
         order = np.argsort(apart, kind="stable")
         for i, j in zip(u[order].tolist(), v[order].tolist(), strict=True):
             a, b = self._find(int(node[i])), self._find(int(node[j]))
-            if a != b and self._alike((uri[i].as_py(), int(at[i]), int(n[i])), (uri[j].as_py(), int(at[j]), int(n[j]))):
+            if a != b and self._alike((int(file[i]), int(at[i]), int(n[i])), (int(file[j]), int(at[j]), int(n[j]))):
                 self.root[max(a, b)] = min(a, b)
                 self.found.append((a, b))
 
@@ -313,7 +313,7 @@ def _search(plan: Plan, outer: list[int], new_judge):
                 rows = pa.Table.from_batches(held).combine_chunks()
                 seg, role, left, node = (rows.column(k).to_numpy() for k in (1, 2, 3, 4))
                 fps = [rows.column(5 + k).to_numpy().view(np.uint64) for k in range(plan.words)]
-                places = [rows.column(k) if pa.types.is_string(rows.schema.field(k).type) else rows.column(k).to_numpy() for k in range(5 + plan.words, rows.num_columns)]
+                places = [rows.column(k).to_numpy() for k in range(5 + plan.words, rows.num_columns)]
                 _part(plan, outer, int(seg[0]), role, left, node, fps, places, judge)
                 held.clear()
 
@@ -333,11 +333,11 @@ def _search(plan: Plan, outer: list[int], new_judge):
     return run
 
 
-def links(nodes: DataFrame, plan: Plan, new_judge=AllNear, block: int = 1 << 20) -> DataFrame:
+def links(nodes: DataFrame, plan: Plan, new_judge=AllNear, block: int = 1 << 19) -> DataFrame:
     """(a, b): links that connect the same nodes as all pairs that the plan finds and the
     judge accepts.  ``nodes`` has node (long, no repeats), f0 and further words, and what
     the judge needs of a node."""
-    spread = max(24 / len(plan.segments), nodes.count() / block)
+    spread = max(12 / len(plan.segments), nodes.count() / block)
     cut = max(0, math.ceil(math.log2(spread)))
     outer = [min(cut, bits - 4) for _, _, bits, _ in plan.segments]
     dealt = []
@@ -383,23 +383,18 @@ def labelled(fps: DataFrame, id_col: str, distance: int) -> DataFrame:
     return out.select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _sketched(docs: DataFrame, text_at: int, shingle: int) -> DataFrame:
-    """``docs`` with each row's place (uid), the words of its wide fingerprint, and where
-    its set of shingles is (file, at, n); written once, so that all agree for good."""
-    spark = docs.sparkSession
-    folder = made(spark, f"{scratch(spark, 'shingles')}/sets")
+def _sketched(docs: DataFrame, text_at: int, shingle: int, folder: str) -> DataFrame:
+    """``docs`` with each row's place (uid), the words of its wide fingerprint, and where in
+    ``folder`` its set of shingles is (file, at, n); written once, so that all agree for good."""
     words = [f"f{k}" for k in range(WIDE.words)]
-    more = [T.StructField(w, T.LongType()) for w in words]
-    more += [T.StructField("file", T.StringType()), T.StructField("at", T.LongType()), T.StructField("n", T.LongType())]
+    more = [T.StructField(w, T.LongType()) for w in (*words, "file", "at", "n")]
     placed = docs.withColumn("uid", F.monotonically_increasing_id())
 
     def run(batches):
-        out, uri, end = None, "", 0
+        # One file an attempt; only the rows of the attempt that counts name it.
+        out, file, end = None, TaskContext.get().taskAttemptId(), 0
         for batch in sliced(batches):
-            if out is None:
-                # One file an attempt; only the rows of the attempt that counts name it.
-                uri = f"{folder}/{uuid.uuid4().hex}"
-                out = create(uri)
+            out = out or create(f"{folder}/{file}")
             fps, at, n = [], [], []
             for text in batch.column(text_at):
                 hashes = np.unique(hashes_of(text.as_py(), shingle))
@@ -409,9 +404,8 @@ def _sketched(docs: DataFrame, text_at: int, shingle: int) -> DataFrame:
                 at.append(end)
                 n.append(len(own))
                 end += len(own)
-            fps = np.stack(fps).view(np.int64)
-            new = [*(pa.array(np.ascontiguousarray(fps[:, k])) for k in range(WIDE.words)), pa.array([uri] * len(n), pa.string()), pa.array(at, pa.int64()), pa.array(n, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *words, "file", "at", "n"])
+            new = [*np.ascontiguousarray(np.stack(fps).view(np.int64).T), np.full(len(n), file), np.array(at), np.array(n)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, pa.int64()) for x in new)], names=[*batch.schema.names, *words, "file", "at", "n"])
         if out is not None:
             out.close()
 
@@ -424,18 +418,20 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     repeated rows.  Fingerprints that agree in all 256 bits are copies."""
     columns = docs.columns
     plain = [f"c{k}" for k in range(len(columns))]
-    sketched = _sketched(docs.toDF(*plain), columns.index(text_col), shingle)
+    folder = scratch(docs.sparkSession, "shingles")
+    sketched = _sketched(docs.toDF(*plain), columns.index(text_col), shingle, folder)
     own_id = F.col(plain[columns.index(id_col)])
     words = [f"f{k}" for k in range(WIDE.words)]
     rank = F.struct(own_id.isNull().alias("none"), own_id.alias("id"), "uid", "file", "at", "n")
     first = written(sketched.groupBy(*words).agg(F.min(rank).alias("first")), "distinct")
     nodes = first.select(F.col("first.uid").alias("node"), *words, "first.file", "first.at", "first.n")
-    found = components(links(nodes, WIDE, lambda: Similar(similarity)))
+    found = components(links(nodes, WIDE, lambda: Similar(similarity, folder)))
     rooted = first.select("first").join(found, F.col("first.uid") == F.col("node"), "left")
     lowest = rooted.groupBy(F.coalesce("root", "first.uid").alias("root")).agg(F.min("first").alias("low"))
     # What stays is a bit a row; the table of bitmaps is broadcast only while it is small.
     bits = lowest.groupBy(F.floor(F.col("low.uid") / _BITMAP).cast("long").alias("block"))
     bits = written(bits.agg(F.bitmap_construct_agg(F.col("low.uid") % _BITMAP).alias("bits")), "kept")
+    drop(docs.sparkSession, folder)
     kept = sketched.withColumn("of", F.floor(F.col("uid") / _BITMAP).cast("long")).join(bits, F.col("of") == F.col("block"))
     bit = F.expr(f"shiftright(cast(conv(hex(substring(bits, cast(uid % {_BITMAP} div 8 as int) + 1, 1)), 16, 10) as int), cast(uid % 8 as int)) & 1")
     return kept.where(bit == 1).select(*plain).toDF(*columns)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from onomast.llm.files import create, dealt, listing, read_range, sliced
-from onomast.sources.scratch import made, scratch, written
+from onomast.sources.scratch import drop, made, scratch, written
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: The published pre-tokenisation pattern of the byte-level vocabularies (fixed value).
@@ -144,4 +144,5 @@ def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw
     folder, manifest, dtype = write(docs, "id", "text", **kw)
     found = scan(docs.sparkSession, folder, kw.get("end", END), dtype=dtype, files=manifest.select("file").distinct())
     found = found.select("file", "ordinal", "n_tokens")
+    drop(docs.sparkSession, folder)  # the separators have been written
     return manifest.join(found, ["file", "ordinal"], "left").select(F.col("id").alias(id_col), "n_tokens")

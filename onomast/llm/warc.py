@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from onomast.llm.files import create, dealt, stream
-from onomast.sources.scratch import scratch, written
+from onomast.sources.scratch import drop, scratch, written
 
 _DATE = "2026-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -67,8 +67,9 @@ def _packed(head: bytes, payload: memoryview):
     yield packer.flush()
 
 
-def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 1000) -> DataFrame:
-    """Write all pages; returns the archives: (path, records)."""
+def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 1000, folder: str | None = None) -> DataFrame:
+    """Write all pages to ``folder`` (in the shared folder if it is not given); returns the
+    archives: (path, records)."""
     spark = pages.sparkSession
     html = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(
@@ -79,7 +80,7 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     equal = written(equal, "equal-payloads")
     rows = rows.join(equal, F.col("digest") == F.col("equal"), "left")
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    folder = scratch(spark, "warc")
+    folder = folder or scratch(spark, "warc")
 
     def run(batches):
         # One file an attempt and roll; only the rows of the attempt that counts name it.
@@ -221,5 +222,9 @@ def records(archives: DataFrame, chunk_bytes: int = 1 << 20) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, **kw) -> DataFrame:
-    """Write the pages and read their records back."""
-    return records(write(pages, **kw))
+    """Write the pages and read their records back; the archives go once they are read."""
+    spark = pages.sparkSession
+    folder = scratch(spark, "warc")
+    found = records(write(pages, folder=folder, **kw))
+    drop(spark, folder)
+    return found

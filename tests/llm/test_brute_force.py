@@ -13,6 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from onomast.llm import chat, decontaminate, mixing, pii, quality, sharding, simhash, template, tokens, warc
+from onomast.sources.scratch import scratch
 
 
 def frame(spark, texts, **more):
@@ -320,11 +321,12 @@ def test_similar_links_of_a_hot_group(spark, block):
         words = base[:]
         words[rng.randrange(400)] = f"x{rng.randrange(9999)}"
         texts.append(" ".join(words))
-    sketched = simhash._sketched(frame(spark, texts).toDF("c0", "c1"), 1, 5)
+    folder = scratch(spark, "sets")
+    sketched = simhash._sketched(frame(spark, texts).toDF("c0", "c1"), 1, 5, folder)
     nodes = sketched.selectExpr("uid as node", "f0", "f1", "f2", "f3", "file", "at", "n")
     from onomast.operators.components import components
 
-    made = simhash.links(nodes, simhash.WIDE, lambda: simhash.Similar(0.8), block=block).cache()
+    made = simhash.links(nodes, simhash.WIDE, lambda: simhash.Similar(0.8, folder), block=block).cache()
     assert components(made).select("root").distinct().count() == 1 and components(made).count() == 149
     if block > 16:
         assert made.count() <= 24 * 149
