@@ -16,8 +16,8 @@ have it and it is in one class with an element around it.  Only distinct pages
 count: a page that has over half of its text from a longer one is a copy, however
 often it is repeated.  In pages without a marked article the main element is the
 innermost one of the template around nearly all text, by one vote a page; outside
-it such repeated text is template without an element of its class, and all other
-text stays.  Text of a slot is never cut: only whole slots are kept or dropped.  A
+it such repeated text is template without an element of its class, elements of the
+template whose text is links on most pages are menus, and all other text stays.  Text of a slot is never cut: only whole slots are kept or dropped.  A
 page of which nothing else is left keeps the template's text.
 
 Defined results: null or empty pages have empty text; a null url is a host of its
@@ -94,6 +94,7 @@ class Template:
         self.parents = self._nest(sequences)
         self.known = {""} | {path for (_, path), k in self.of.items() if k in self.parents}
         self.often, self.fixed = self._texts(pages, slots)
+        self.menus = self._menus(pages)
         self.main = self._main(slots)
 
     def _nest(self, sequences) -> dict[int, tuple[int, str] | None]:
@@ -128,13 +129,24 @@ class Template:
         fixed = {s for s, v in vectors.items() if any(p in self.known and tags[OPEN, p] == v for p in _around(s[0]))}
         return often, fixed
 
+    def _menus(self, pages) -> set[str]:
+        """The paths of template elements whose text is almost all links, of several at
+        least, on most of the pages that have them."""
+        lists: Counter = Counter()
+        others: Counter = Counter()
+        for page in pages:
+            if not _has_article(page):
+                for path, (texts, linked, n_links) in link_shares(page).items():
+                    (lists if n_links > 1 and linked >= 0.8 * texts else others)[path] += 1
+        return {path for path, n in lists.items() if n > others[path] and path in self.known and path.count("/") > 2}
+
     def _main(self, slots) -> str:
         """The path of the innermost template element around nearly all text of the
         slots; each page has one vote, dealt out by the shares of its own text."""
         around: Counter = Counter()
         votes = 0
         for page in slots:
-            own = [(path, len(text)) for path, text in page if (path, text) not in self.fixed]
+            own = [(path, len(text)) for path, text in page if (path, text) not in self.fixed and self.menus.isdisjoint(_around(path))]
             total = sum(n for _, n in own)
             votes += total > 0
             for path, n in own:
@@ -144,6 +156,32 @@ class Template:
         return max(fit, key=lambda p: p.count("/"), default="")
 
 
+def link_shares(page: list[Event]) -> dict[str, tuple[int, int, int]]:
+    """For each element path: characters of text in it, those of them in links, and links."""
+    shares: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0])
+    paths: list[str] = []
+    links = 0
+    for kind, what in page:
+        if kind == TEXT:
+            n = len("".join(what.split()))
+            for path in paths:
+                shares[path][0] += n
+                shares[path][1] += n if links else 0
+        elif kind == OPEN:
+            if what.tag == "a":
+                links += 1
+                for path in paths:
+                    shares[path][2] += 1
+            elif what.tag not in INLINE:
+                paths.append(what.path)
+        elif kind == CLOSE:
+            if what.tag == "a":
+                links -= 1
+            elif what.tag not in INLINE:
+                paths.pop()
+    return {path: tuple(share) for path, share in shares.items()}
+
+
 def _around(path: str) -> list[str]:
     """The paths of the page and of all elements down to ``path``."""
     parts = path.split("/")
@@ -198,11 +236,13 @@ def open_slots(page: list[Event]) -> list[Slot]:
 
 def main_text(page: list[Event], template: Template, constant: bool = False) -> str:
     """The kept slots of a page as blocks; ``constant`` keeps text of the template too."""
-    main = template.main
-    within = not _has_article(page) and main and any(k == OPEN and w.path == main for k, w in page)
+    main, marked = template.main, _has_article(page)
+    within = not marked and main and any(k == OPEN and w.path == main for k, w in page)
 
     def stays(slot: Slot) -> bool:
         outside = within and slot[0] != main and not slot[0].startswith(main + "/")
+        if not marked and not template.menus.isdisjoint(_around(slot[0])):
+            return False
         return slot not in (template.often if outside else template.fixed)
 
     return "\n\n".join(slot[1] for slot in open_slots(page) if constant or stays(slot))

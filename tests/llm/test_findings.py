@@ -63,6 +63,32 @@ def test_near_copies_without_article_keep_what_they_share():
     assert template.extract([page.format(i) for i in range(6)]) == [f"{want}{i}" for i in range(6)]
 
 
+def test_pages_without_any_mark(spark):
+    """Pages of the test table with neutral tags and no names: by the template alone the
+    article is the main element of each host, and what is repeated and menus go."""
+    import re
+    from collections import defaultdict
+
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    hosts = defaultdict(list)
+    for r in rows:
+        hosts[re.sub(r"^\w+://([^/]*).*", r"\1", r.url or "")].append(r.html or "")
+    n = 0
+    for pages in hosts.values():
+        # A title line at the head and a line of the house at the foot, the same everywhere.
+        plain = [p.replace("<article>", "<p>The house paper</p><article>").replace("</body>", "<p>Printed by the house</p></body>") for p in pages]
+        plain = [re.sub(r'<div class="ad">.*?</div>|<footer>.*?</footer>', "", p) for p in plain]
+        want = template.extract(pages)
+        bare = [re.sub(r"<(/?)(nav|article)>", r"<\1div>", p) for p in plain]
+        if len(pages) < 8:
+            continue
+        n += len(pages)
+        assert template.extract(bare) == want
+        nothing = template.Template([])
+        assert all(template.main_text(list(events(b)), nothing) != w for b, w in zip(bare, want, strict=True))
+    assert n > 50
+
+
 def found(spark, texts):
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.spans for r in pii.digest(pii.spans(rows)).collect()}
