@@ -40,7 +40,7 @@ from __future__ import annotations
 import math
 from collections import OrderedDict
 from dataclasses import dataclass
-from itertools import combinations
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -100,8 +100,7 @@ def shingles_of(text: str | None, size: int) -> list[bytes]:
 
 def hashes_of(text: str | None, size: int) -> np.ndarray:
     """XXH64 of each shingle of a text."""
-    digest = xxhash.xxh64_intdigest
-    return np.array([digest(s, 42) for s in shingles_of(text, size)], dtype="<u8")
+    return np.frombuffer(b"".join(map(xxhash.xxh64_digest, shingles_of(text, size), repeat(42))), dtype=">u8").astype("<u8")
 
 
 def _mixed(hashes: np.ndarray, lane: int) -> np.ndarray:
@@ -117,7 +116,7 @@ def majority(hashes: np.ndarray, words: int = 1) -> np.ndarray:
     counts = np.zeros(64 * words, dtype=np.int64)
     for i in range(0, len(hashes), _CHUNK):
         own = hashes[i : i + _CHUNK]
-        lanes = np.stack([own, *(_mixed(own, k) for k in range(1, words))], axis=1)
+        lanes = np.stack([own, *(_mixed(own, k) for k in range(1, words))], axis=1) if words > 1 else own
         bits = np.unpackbits(lanes.view(np.uint8).reshape(len(own), 8 * words), axis=1, bitorder="little")
         counts += np.add.reduce(bits, axis=0, dtype=np.uint8)  # at most 255 of them
     return np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")
