@@ -274,7 +274,7 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host"))
     sizes = rows.groupBy(F.col("host").alias("h")).agg(F.ceil(F.count("*") / block_pages).cast("int").alias("blocks"))
     sizes = written(sizes, "hosts")
-    block = F.pmod(F.xxhash64("id", "url"), F.col("blocks"))
+    block = F.pmod(F.xxhash64("id", "url", "html"), F.col("blocks"))
     rows = rows.join(sizes, F.col("host") == F.col("h")).select("host", block.alias("block"), "id", "url", "html")
     id_type = pages.schema[id_col].dataType.simpleString()
 

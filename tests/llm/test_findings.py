@@ -146,3 +146,88 @@ def test_very_long_turns(spark):
     rows = spark.createDataFrame([(1, 0, "user", text), (1, 1, "assistant", text)], "conv_id long, turn int, role string, text string")
     got = chat.summary(chat.render(rows)).first()
     assert got.loss_chars == len(text) and got.n_turns == 2
+
+
+def plain_patterns(left, right):
+    """(pattern, far) of a mention, in plain Python."""
+    import re
+
+    words = lambda s: [w for w in re.sub(r"[ \t-\r]+", " ", s.lower()).strip().split(" ") if w]
+    near = {"<": words(left)[::-1], ">": words(right)}
+    return [(f"{side}{n} {' '.join(w[:n])}", (w[1:2] or [None])[0] if n == 1 else None) for side, w in near.items() if w for n in (2, 1)]
+
+
+def plain_learned(mentions, support, confident, rounds):
+    """The scores of patterns and values in plain Python."""
+    from collections import defaultdict
+    from math import prod
+
+    far, graph, base = defaultdict(set), defaultdict(set), {}
+    seen = [(p, f, kind, value.lower()) for kind, value, left, right in mentions for p, f in plain_patterns(left, right)]
+    for p, f, kind, value in seen:
+        if p[1] == "1" and f is not None and kind != "word":
+            far[p].add(f)
+    for p, f, kind, value in seen:
+        if p[1] != "1" or len(far[p]) >= support:
+            graph[p].add(value)
+            if kind != "word":
+                base[p, value] = min(kind, base.get((p, value), kind))
+    graph = {p: v for p, v in graph.items() if len(v) >= support and any((p, x) in base for x in v)}
+    seeds = {(value, kind): 1.0 for (p, value), kind in base.items() if p in graph}
+    scores, trusted = dict(seeds), {}
+    for _ in range(rounds):
+        kinds = {k for _, k in scores}
+        sums = {(p, k): sum(scores.get((v, k), 0.0) for v in values) / len(values) for p, values in graph.items() for k in kinds}
+        trusted = {pk: c for pk, c in sums.items() if c >= confident}
+        behind = defaultdict(list)
+        for (p, k), c in trusted.items():
+            for v in graph[p]:
+                if (p, v) not in base:
+                    behind[v, k].append(min(c, 1 - 1e-9))
+        scores = dict(seeds) | {vk: 1 - prod(1 - c for c in cs) for vk, cs in behind.items()}
+    return {(p, v, k) for p, k in trusted for v in graph[p] if (p, v) not in base and scores.get((v, k), 0) >= confident}
+
+
+def test_scores_of_patterns_and_values(spark):
+    import random
+
+    rng = random.Random(12)
+    labels = ["call me at", "ring home on", "mail to", "see page", "from host"]
+    mentions = []
+    for i in range(900):
+        label = rng.choice(labels)
+        kind = {"call me at": "phone", "ring home on": "phone", "mail to": "email", "from host": "ip", "see page": "word"}[label]
+        if rng.random() < 0.06 or label == "see page":
+            kind = "word"
+        mentions.append((kind, f"V{rng.randrange(400)}", f"w{rng.randrange(60)} {label}", rng.choice([" thanks then", f" x{i} y", ""])))
+    rows = [(i, None, kind, 0, 1, value, left, right) for i, (kind, value, left, right) in enumerate(mentions)]
+    free = spark.createDataFrame(rows, "row long, id long, kind string, start int, end int, value string, left string, right string")
+    for support, confident, rounds in ((8, 0.9, 3), (3, 0.8, 1), (8, 0.95, 2)):
+        got = {tuple(r) for r in pii.learned(free, support, confident, rounds).select("pattern", "value", "kind").collect()}
+        assert got == plain_learned(mentions, support, confident, rounds)
+    assert plain_learned(mentions, 8, 0.9, 3)
+
+
+def test_recall_and_precision_on_planted_contexts(spark):
+    """Identifiers that no base pattern takes, behind contexts that base ones teach, among
+    numbers behind other words."""
+    import random
+
+    rng = random.Random(5)
+    labels = ["reach me at", "my phone is", "call the office:", "dial"]
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    texts, planted = [], 0
+    for i in range(400):
+        label = rng.choice(labels)
+        if rng.random() < 0.05:
+            texts.append(f"{word()} {word()} {label} 555-{rng.randrange(1000, 9999)} {word()}")
+            planted += 1
+        else:
+            texts.append(f"{word()} {word()} {label} +1 (555) 555-{rng.randrange(1000, 9999)} {word()} {word()}")
+        texts.append(f"{word()} page {rng.randrange(1000)} of {rng.randrange(1000)} {word()} version {rng.randrange(9)}.{rng.randrange(9)}")
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [x for x in found(spark, texts) for x in x]
+    assert rows.count() == 800 and planted > 12
+    caught = [x for x in got if x.startswith("555-")]
+    assert len(caught) >= 0.9 * planted
+    assert all(x.startswith(("555-", "+1")) for x in got)
