@@ -8,7 +8,7 @@ expressions; the kernel gets null for them.  Accessors are native.
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -81,6 +81,13 @@ NOT_MIDDLE = sorted(SURNAME_PREFIXES)
 NOT_LAST = sorted({*GENERATION_FORMS, *SUFFIXES})
 
 
+def _among(c: Column, words: list[str]) -> Column:
+    """``c.isin(words)``; the words go to the JVM as one string, not in a call for each."""
+    jvm = SparkSession.getActiveSession().sparkContext._jvm
+    listed = jvm.java.util.regex.Pattern.compile(BETWEEN).split(BETWEEN.join(words))
+    return type(c)(c._jc.isin(jvm.scala.collection.immutable.ArraySeq.unsafeWrapArray(listed)))
+
+
 def _natively(text: Column) -> tuple[Column, Column]:
     """(whether a text has a plain form, the record if so).
 
@@ -89,7 +96,7 @@ def _natively(text: Column) -> tuple[Column, Column]:
     parts = F.regexp_replace(text, F.lit(PLAIN), F.lit(PARTS))
     given, second, letter, last = (F.split_part(parts, F.lit(BETWEEN), F.lit(i)) for i in (1, 2, 3, 4))
     short = (second == "") & (letter == "")
-    ordinary = ~given.isin(NOT_FIRST) & ~second.isin(NOT_MIDDLE) & ~last.isin(NOT_LAST)
+    ordinary = ~_among(given, NOT_FIRST) & ~_among(second, NOT_MIDDLE) & ~_among(last, NOT_LAST)
     plain = (parts != text) & (short | ordinary)
     none = F.lit(None).cast("string")
     first_span = F.struct(F.lit(0).alias("start"), F.lit(1).alias("end"))
@@ -108,6 +115,23 @@ def _natively(text: Column) -> tuple[Column, Column]:
     return F.coalesce(plain, F.lit(False)), record
 
 
+def native_sql(t: str, parts: str) -> tuple[str, str]:
+    """As ``_natively`` in SQL, over the text ``t`` and its ``parts``."""
+    given, second, letter, last = (f"split_part({parts}, '{BETWEEN}', {i})" for i in (1, 2, 3, 4))
+    lists = [", ".join('"' + w + '"' for w in words) for words in (NOT_FIRST, NOT_MIDDLE, NOT_LAST)]
+    ordinary = f"{given} NOT IN ({lists[0]}) AND {second} NOT IN ({lists[1]}) AND {last} NOT IN ({lists[2]})"
+    plain = f"coalesce({parts} <> {t} AND (({second} = '' AND {letter} = '') OR ({ordinary})), false)"
+    record = f"""named_struct(
+        'given_words', if({second} = '', array({given}), array({given}, {second})),
+        'surname_words', array({last}),
+        'initials', concat(substring({given}, 1, 1), substring({second}, 1, 1), {letter}),
+        'given_initial_spans', if({second} = '', array(named_struct('start', 0, 'end', 1)), array(named_struct('start', 0, 'end', 1), named_struct('start', 1, 'end', 2))),
+        'display_name', concat_ws(' ', {given}, nullif({second}, ''), if({letter} <> '', concat({letter}, '.'), null), {last}),
+        'generation', cast(null as int), 'honorific_prefix', cast(null as string), 'honorific_suffix', cast(null as string),
+        'surname_key', reverse(lower(right({last}, 4))))"""
+    return plain, record
+
+
 def parse_name(text: str | Column, fast: bool = True) -> Column:
     """The record of a free-text name (``NAME_SCHEMA``); null if it is no plausible name."""
     text = _col(text)

@@ -13,7 +13,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from onomast.functions.matching import PACKED_FIELDS, agree_packed
-from onomast.functions.names import BETWEEN, NAME_SCHEMA, NOT_FIRST, NOT_LAST, NOT_MIDDLE, PARTS, PLAIN, parse_batch
+from onomast.functions.names import NAME_SCHEMA, PARTS, PLAIN, native_sql, parse_batch
 from onomast.functions.worker import ready, shared_table
 
 _TYPE = NAME_SCHEMA.simpleString()
@@ -45,22 +45,7 @@ ACCESSORS = {
 }
 
 
-def _words(words: list[str]) -> str:
-    return ", ".join("'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'" for w in words)
-
-
-_GIVEN_PART, _SECOND, _LETTER, _LAST = (f"split_part(parts, '{BETWEEN}', {i})" for i in (1, 2, 3, 4))
-_ORDINARY = f"{_GIVEN_PART} NOT IN ({_words(NOT_FIRST)}) AND {_SECOND} NOT IN ({_words(NOT_MIDDLE)}) AND {_LAST} NOT IN ({_words(NOT_LAST)})"
-#: Whether a text with its ``parts`` has a plain form.
-_IS_PLAIN = f"coalesce(parts <> t AND (({_SECOND} = '' AND {_LETTER} = '') OR ({_ORDINARY})), false)"
-_PLAIN_RECORD = f"""named_struct(
-    'given_words', if({_SECOND} = '', array({_GIVEN_PART}), array({_GIVEN_PART}, {_SECOND})),
-    'surname_words', array({_LAST}),
-    'initials', concat(substring({_GIVEN_PART}, 1, 1), substring({_SECOND}, 1, 1), {_LETTER}),
-    'given_initial_spans', if({_SECOND} = '', array(named_struct('start', 0, 'end', 1)), array(named_struct('start', 0, 'end', 1), named_struct('start', 1, 'end', 2))),
-    'display_name', concat_ws(' ', {_GIVEN_PART}, nullif({_SECOND}, ''), if({_LETTER} <> '', concat({_LETTER}, '.'), null), {_LAST}),
-    'generation', cast(null as int), 'honorific_prefix', cast(null as string), 'honorific_suffix', cast(null as string),
-    'surname_key', reverse(lower(right({_LAST}, 4))))"""
+_IS_PLAIN, _PLAIN_RECORD = native_sql("t", "parts")
 _FEATURES = """named_struct('key', p.surname_key, 'generation', p.generation,
     'surname', if(size(p.surname_words) = 1 AND p.surname_words[0] RLIKE '^[A-Za-z]+$', lower(p.surname_words[0]), null),
     'initial', if(p.initials RLIKE '^[A-Z]$', p.initials, null), 'given', size(p.given_words) > 0)"""
