@@ -85,4 +85,10 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM words LEFT JOIN marked USING (rid) LEFT JOIN named USING (rid)
 """
 
-ORACLES: dict[str, str] = {"op1_mix_sources": OP1, "op6_warc": OP6, "op7_chat": _op7(), "op8_decontaminate": OP8}
+SHARDS = """
+SELECT count(*) AS n_rows, CAST(coalesce(sum(strlen(coalesce(text, ''))), 0) AS BIGINT) AS bytes, CAST(0 AS BIGINT) AS too_large,
+       CAST(0 AS BIGINT) AS split_for_nothing, CAST(0 AS BIGINT) AS sizes_differ
+FROM documents
+"""
+
+ORACLES: dict[str, str] = {"op1_mix_sources": OP1, "op6_warc": OP6, "op7_chat": _op7(), "op8_decontaminate": OP8, "shard_invariants": SHARDS}

@@ -64,6 +64,11 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows
 
 
+def shard_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether op10's shards are those of extendible hashing, at a limit that splits often."""
+    return sharding.invariants(*sharding.shards_of(table(spark, sf_dir, "documents"), limit=1 << 16), 1 << 16)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_token_counts": op2_token_counts,
@@ -75,4 +80,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_quality_rules": op9_quality_rules,
     "op10_shard": op10_shard,
+    "shard_invariants": shard_invariants,
 }

@@ -132,6 +132,28 @@ def shards_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     return _looked_up(rows, shards).select(F.col("i").alias(id_col), "bytes", "shard"), shards
 
 
+def invariants(rows: DataFrame, shards: DataFrame, limit: int = 16 << 20) -> DataFrame:
+    """One row that says whether a directory is one of extendible hashing: what it holds,
+    how many shards of several rows are above the limit, how many pairs of siblings would
+    fit one bucket, and how many rows have no shard or shards other sizes than their rows."""
+    name = F.concat_ws("-", "level", "depth", F.lower(F.hex("prefix")), F.when(F.col("level") == 1, F.lower(F.hex("base"))))
+    pairs = shards.where("depth > 0").groupBy("level", "base", "depth", F.shiftright("prefix", 1).alias("parent"))
+    pairs = pairs.agg(F.count("*").alias("n"), F.sum("bytes").alias("b")).where(f"n = 2 and b <= {limit}")
+    held = rows.groupBy("shard").agg(F.sum("bytes").alias("b"), F.count("*").alias("n"))
+    odd = shards.select(name.alias("named"), "bytes", "n_rows").join(held, F.col("named").eqNullSafe(F.col("shard")), "full")
+    odd = odd.where(~(F.col("bytes").eqNullSafe(F.col("b")) & F.col("n_rows").eqNullSafe(F.col("n"))))
+    counts = [
+        rows.agg(F.count("*").alias("n_rows"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")),
+        shards.agg(F.count_if((F.col("bytes") > limit) & (F.col("n_rows") > 1)).alias("too_large")),
+        pairs.agg(F.count("*").alias("split_for_nothing")),
+        odd.agg(F.count("*").alias("sizes_differ")),
+    ]  # one row each
+    out = counts[0].withColumn("one", F.lit(1))
+    for c in counts[1:]:
+        out = out.join(c.withColumn("one", F.lit(1)), "one")
+    return out.drop("one")
+
+
 def with_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 16 << 20) -> DataFrame:
     """``docs`` with the column ``shard``, in the place of one that it may have."""
     columns = docs.columns
