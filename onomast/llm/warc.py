@@ -75,11 +75,13 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     rows = pages.select(
         F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("digest")
     )
-    equal = rows.where(F.octet_length("html") >= least).groupBy(F.col("digest").alias("equal"))
-    equal = equal.agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("equal", "first")
-    equal = written(equal, "equal-payloads")
-    rows = rows.join(equal, F.col("digest") == F.col("equal"), "left")
-    refers = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
+    # Revisits are told on ids and digests alone; pages meet them by id and digest, so a payload
+    # that very many pages share is no hot key of whole pages.
+    slim = written(rows.where(F.octet_length("html") >= least).select("page_id", "digest"), "digests", "slim")
+    equal = slim.groupBy(F.col("digest").alias("equal")).agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    revisits = slim.join(equal, F.col("digest") == F.col("equal")).where(~F.col("page_id").eqNullSafe(F.col("first")) & F.col("first").isNotNull())
+    revisits = written(revisits.select(F.col("page_id").alias("again"), "equal", "first").distinct(), "revisits")
+    rows = rows.join(revisits, F.col("page_id").eqNullSafe(F.col("again")) & (F.col("digest") == F.col("equal")), "left")
     folder = folder or scratch(spark, "warc")
 
     def run(batches):
@@ -104,7 +106,7 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
             out.close()
             yield pa.RecordBatch.from_pydict({"path": [path], "records": pa.array([records], pa.int64())})
 
-    out = rows.select("page_id", "url", "html", "digest", refers.alias("refers_to")).mapInArrow(run, "path string, records long")
+    out = rows.select("page_id", "url", "html", "digest", F.col("first").alias("refers_to")).mapInArrow(run, "path string, records long")
     # Written as it comes: a shuffle of names that a rerun makes anew could lose some.
     return written(out, "archives", "all")
 
