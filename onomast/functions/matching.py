@@ -65,7 +65,8 @@ def _unpacked(text: str) -> _Record:
 
 def features(p: Column) -> Column:
     """What native expressions compare, worked out once per record: the key, the
-    generation, a plain surname, a lone ASCII initial, and whether a given name is known."""
+    generation, a plain surname, a lone ASCII initial, a plain given name without others,
+    and whether a given name is known."""
     words, initials = p["surname_words"], p["initials"]
     plain = F.when((F.size(words) == 1) & words[0].rlike("^[A-Za-z]+$"), F.lower(words[0]))
     return F.struct(
@@ -73,6 +74,7 @@ def features(p: Column) -> Column:
         p["generation"].alias("generation"),
         plain.alias("surname"),
         F.when(initials.rlike("^[A-Z]$"), initials).alias("initial"),
+        F.when(initials.rlike("^[A-Z]$") & (F.size(p["given_words"]) == 1) & p["given_words"][0].rlike("^[A-Za-z]+$"), F.lower(p["given_words"][0])).alias("name"),
         (F.size(p["given_words"]) > 0).alias("given"),
     )
 
@@ -86,7 +88,7 @@ def native_verdict(a: Column, b: Column) -> Column:
         F.when(a["key"].isNull() | b["key"].isNull() | (a["key"] != b["key"]) | conflict, F.lit(False))
         .when(both_plain & (a["surname"] != b["surname"]), F.lit(False))
         .when(lone & (a["initial"] != b["initial"]), F.lit(False))
-        .when(lone & both_plain, F.lit(True))
+        .when(both_plain & (lone | (a["name"] == b["name"])), F.lit(True))
     )
 
 

@@ -48,13 +48,15 @@ ACCESSORS = {
 _IS_PLAIN, _PLAIN_RECORD = native_sql("t", "parts")
 _FEATURES = """named_struct('key', p.surname_key, 'generation', p.generation,
     'surname', if(size(p.surname_words) = 1 AND p.surname_words[0] RLIKE '^[A-Za-z]+$', lower(p.surname_words[0]), null),
-    'initial', if(p.initials RLIKE '^[A-Z]$', p.initials, null), 'given', size(p.given_words) > 0)"""
-_FEATURES_TYPE = "STRUCT<key: STRING, generation: INT, surname: STRING, initial: STRING, given: BOOLEAN>"
+    'initial', if(p.initials RLIKE '^[A-Z]$', p.initials, null),
+    'name', if(p.initials RLIKE '^[A-Z]$' AND size(p.given_words) = 1 AND p.given_words[0] RLIKE '^[A-Za-z]+$', lower(p.given_words[0]), null),
+    'given', size(p.given_words) > 0)"""
+_FEATURES_TYPE = "STRUCT<key: STRING, generation: INT, surname: STRING, initial: STRING, name: STRING, given: BOOLEAN>"
 _LONE = "(x.initial IS NOT NULL AND y.initial IS NOT NULL AND NOT (x.given AND y.given))"
 #: As ``native_verdict``: true or false where features tell, else null.
 _VERDICT = f"""CASE WHEN x.key IS NULL OR y.key IS NULL OR x.key <> y.key OR coalesce(x.generation <> y.generation, false) THEN false
     WHEN x.surname <> y.surname THEN false WHEN {_LONE} AND x.initial <> y.initial THEN false
-    WHEN {_LONE} AND x.surname IS NOT NULL AND y.surname IS NOT NULL THEN true END"""
+    WHEN x.surname IS NOT NULL AND y.surname IS NOT NULL AND ({_LONE} OR x.name = y.name) THEN true END"""
 
 
 def register(spark: SparkSession) -> list[str]:
