@@ -13,7 +13,7 @@ bits.  Plans are fixed, the same for any number of rows:
   the distance are missed (distance 4: radii 1, 1 and 0);
 * ``WIDE``: 256 bits, twelve segments of radius 2.  Two texts whose sets of shingles have
   similarity 0.8 differ in 0.15 of their bits; a segment finds them with probability 0.36,
-  one of the twelve with 0.995 (0.99998 at similarity 0.9).  Up to 56 differing bits are
+  one of the twelve with 0.995 (0.99998 at similarity 0.9; by calculation).  Up to 56 differing bits are
   looked at, three standard deviations above the mean at 0.8, and then their sets of
   shingles are compared: only a Jaccard similarity of ``similarity`` or more links.
 

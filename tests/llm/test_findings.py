@@ -65,7 +65,9 @@ def test_near_copies_without_article_keep_what_they_share():
 
 def test_pages_without_any_mark(spark):
     """Pages of the test table with neutral tags and no names: by the template alone the
-    article is the main element of each host, and what is repeated and menus go."""
+    article is the main element of each host, and what is repeated and menus go.  Ads and
+    footers are taken out first: their text differs from page to page, and nothing but
+    their names tells it from the article's."""
     import re
     from collections import defaultdict
 
