@@ -1,10 +1,13 @@
 """Joins of name tables by the consistency predicate.
 
-Equal surname keys are necessary, so every join is an equi-join on the key (spread
+Equal records of a side are one before any pairing: pairs are of different records, and
+rows come back to them by a native join on the record.  Semi and anti joins need no row
+of the other side for that, and copies are multiplied only where pairs are asked for.
+Rows of a stream stay apart, for gathering them takes state.
+
+Equal surname keys are necessary, so every pairing is an equi-join on the key (spread
 by AQE where a key is hot) with native conjuncts in its condition; the kernel runs on
-the pairs that natives cannot decide.  Semi, anti and outer joins derive from the
-matching ids by a second, native join, for a Python function cannot stand in their
-conditions.  Ids must be unique on each side.
+the pairs that natives cannot decide.  Ids must be unique on each side.
 """
 
 from __future__ import annotations
@@ -16,29 +19,48 @@ from onomast.functions.matching import features, kernel_verdict, names_consisten
 from onomast.functions.names import parse_name
 
 
-def _side(df: DataFrame, id_col: str, p: str, tag: str) -> DataFrame:
+def _rows(df: DataFrame, id_col: str, p: str, tag: str) -> DataFrame:
+    """(id, p) of the rows with a name, the record packed."""
+    some = df.where(F.col(p).isNotNull())
+    return some.select(F.col(id_col).alias(f"{tag}_id"), packed(F.col(p)).alias(f"{tag}_p"))
+
+
+def _records(df: DataFrame, id_col: str, p: str, tag: str) -> DataFrame:
+    """(p, f) of each different record; of a stream (id, p, f) of each row."""
     some = df.where(F.col(p).isNotNull())
-    return some.select(F.col(id_col).alias(f"{tag}_id"), packed(F.col(p)).alias(f"{tag}_p"), features(F.col(p)).alias(f"{tag}_f"))
+    record = packed(F.col(p)).alias(f"{tag}_p"), features(F.col(p)).alias(f"{tag}_f")
+    if df.isStreaming:
+        return some.select(F.col(id_col).alias(f"{tag}_id"), *record)
+    return some.select(*record).distinct()
 
 
-def candidates(left: DataFrame, right: DataFrame, left_id: str, right_id: str, p: str = "p", also: Column | None = None) -> DataFrame:
-    """Pairs of one surname key that no native conjunct rules out: ids, packed records and
-    ``verdict``, true where natives alone are sure."""
-    a, b = _side(left, left_id, p, "left"), _side(right, right_id, p, "right")
+def candidates(left: DataFrame, right: DataFrame, left_id: str, right_id: str, p: str = "p") -> DataFrame:
+    """Pairs of records of one surname key that no native conjunct rules out: packed records
+    (with the id on a side that is a stream) and ``verdict``, true where natives alone are sure."""
+    a, b = _records(left, left_id, p, "left"), _records(right, right_id, p, "right")
     on = F.col("left_f")["key"] == F.col("right_f")["key"]
     verdict = native_verdict(F.col("left_f"), F.col("right_f"))
-    on = on & F.coalesce(verdict, F.lit(True))
-    if also is not None:
-        on = on & also
-    return a.join(b, on).select("left_id", "right_id", "left_p", "right_p", verdict.alias("verdict"))
+    some = a.join(b, on & F.coalesce(verdict, F.lit(True)))
+    return some.withColumn("verdict", verdict).drop("left_f", "right_f")
 
 
-def match_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, p: str = "p", also: Column | None = None) -> DataFrame:
-    """(left_id, right_id) of all consistent pairs."""
-    some = candidates(left, right, left_id, right_id, p, also)
+def _record_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, p: str) -> DataFrame:
+    """(left_p, right_p) of all consistent records, with the id on a side that is a stream."""
+    some = candidates(left, right, left_id, right_id, p)
     unsure = F.col("verdict").isNull()
     kernel = kernel_verdict(*(F.when(unsure, F.col(c)) for c in ("left_p", "right_p")))
-    return some.where(F.coalesce("verdict", kernel)).select("left_id", "right_id")
+    return some.where(F.coalesce("verdict", kernel)).drop("verdict")
+
+
+def match_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, p: str = "p", also: Column | None = None) -> DataFrame:
+    """(left_id, right_id) of all consistent pairs."""
+    pairs = _record_pairs(left, right, left_id, right_id, p)
+    for df, id_col, tag in ((left, left_id, "left"), (right, right_id, "right")):
+        if not df.isStreaming:
+            pairs = pairs.join(_rows(df, id_col, p, tag), f"{tag}_p")
+    if also is not None:
+        pairs = pairs.where(also)
+    return pairs.select("left_id", "right_id")
 
 
 def match_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, how: str = "inner", p: str = "p") -> DataFrame:
@@ -46,13 +68,18 @@ def match_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, h
 
     inner and left add the column ``right_id``; left_semi and left_anti filter.
     """
-    pairs = match_pairs(left, right, left_id, right_id, p)
+    if how not in ("inner", "left", "left_semi", "left_anti"):
+        raise ValueError(f"unknown join type: {how}")
+    pairs = _record_pairs(left, right, left_id, right_id, p)
+    own, theirs = (F.col(left_id), "left_id") if left.isStreaming else (packed(F.col(p)), "left_p")
     if how in ("left_semi", "left_anti"):
-        found = pairs.select("left_id").distinct()
-        return left.join(found, left[left_id] == found["left_id"], how)
-    if how in ("inner", "left"):
-        return left.join(pairs, left[left_id] == pairs["left_id"], how).drop("left_id")
-    raise ValueError(f"unknown join type: {how}")
+        found = pairs.select(F.col(theirs).alias("__found")).distinct()
+    else:
+        if not right.isStreaming:
+            pairs = pairs.join(_rows(right, right_id, p, "right"), "right_p")
+        found = pairs.select(F.col(theirs).alias("__found"), "right_id")
+    keyed = left.withColumn("__own", own)
+    return keyed.join(found, F.col("__own") == F.col("__found"), how).drop("__own", "__found")
 
 
 def self_pairs(df: DataFrame, id_col: str, p: str = "p") -> DataFrame:
