@@ -34,6 +34,12 @@ def _records(df: DataFrame, id_col: str, p: str, tag: str) -> DataFrame:
     return some.select(*record).distinct()
 
 
+def _members(df: DataFrame, id_col: str, p: str, tag: str) -> DataFrame:
+    """``_rows`` to join with pairs of records.  The few pairs make most rows, so they are dealt
+    out by record: with a side broadcast they would all be multiplied in one task."""
+    return _rows(df, id_col, p, tag).hint("merge")
+
+
 def candidates(left: DataFrame, right: DataFrame, left_id: str, right_id: str, p: str = "p") -> DataFrame:
     """Pairs of records of one surname key that no native conjunct rules out: packed records
     (with the id on a side that is a stream) and ``verdict``, true where natives alone are sure."""
@@ -57,7 +63,7 @@ def match_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
     pairs = _record_pairs(left, right, left_id, right_id, p)
     for df, id_col, tag in ((left, left_id, "left"), (right, right_id, "right")):
         if not df.isStreaming:
-            pairs = pairs.join(_rows(df, id_col, p, tag), f"{tag}_p")
+            pairs = pairs.join(_members(df, id_col, p, tag), f"{tag}_p")
     if also is not None:
         pairs = pairs.where(also)
     return pairs.select("left_id", "right_id")

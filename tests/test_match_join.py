@@ -5,7 +5,7 @@ import pytest
 from onomast import functions as N
 from onomast.kernel.match import consistent
 from onomast.kernel.parse import parse
-from onomast.operators import match_join
+from onomast.operators import candidates, match_join, match_pairs
 
 COPIES = 300
 LEFT = ["J. Doe", "Jane Q. Doe", "Zed Zimmer", "Doe-Roe Jane Quinn Jane", None]
@@ -57,3 +57,12 @@ def test_anti_match_makes_no_pairs_of_copies(sides, want):
     got = sorted(r.id for r in out.collect())
     assert got == sorted(set(range(len(LEFT) * COPIES)) - {a for a, _ in want}) and out.columns == left.columns
     assert max(joined_rows(out)) <= left.count()
+
+
+def test_pairs_of_copies_are_decided_once_and_dealt_out(sides, want):
+    left, right = sides
+    assert candidates(left, right, "id", "id").count() <= len(LEFT) * len(RIGHT)
+    out = match_pairs(left, right, "id", "id")
+    got = [(r.left_id, r.right_id) for r in out.collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert out._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin") >= 2
