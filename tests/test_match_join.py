@@ -66,3 +66,15 @@ def test_pairs_of_copies_are_decided_once_and_dealt_out(sides, want):
     got = [(r.left_id, r.right_id) for r in out.collect()]
     assert len(got) == len(want) and set(got) == want
     assert out._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin") >= 2
+
+
+def test_left_match_makes_only_the_pairs_it_returns(sides, want):
+    left, right = sides
+    out = match_join(left, right, "id", "id", "left")
+    assert out.columns == [*left.columns, "right_id"]
+    kept = out.select("id", "right_id")
+    got = [(r.id, r.right_id) for r in kept.collect()]
+    alone = {(i, None) for i in set(range(len(LEFT) * COPIES)) - {a for a, _ in want}}
+    assert len(got) == len(want) + len(alone) and set(got) == want | alone
+    made = joined_rows(kept)
+    assert max(made) == len(got) and sum(made) <= 1.1 * len(got)
