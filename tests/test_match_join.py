@@ -78,3 +78,10 @@ def test_left_match_makes_only_the_pairs_it_returns(sides, want):
     assert len(got) == len(want) + len(alone) and set(got) == want | alone
     made = joined_rows(kept)
     assert max(made) == len(got) and sum(made) <= 1.1 * len(got)
+
+
+def test_semi_match_makes_no_pairs_of_copies(sides, want):
+    left, right = sides
+    out = match_join(left, right, "id", "id", "left_semi")
+    assert sorted(r.id for r in out.collect()) == sorted({a for a, _ in want}) and out.columns == left.columns
+    assert max(joined_rows(out)) <= left.count()
