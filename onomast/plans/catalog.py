@@ -362,6 +362,10 @@ def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return parsed_names(spark, sf_dir, _INITIAL, "supplier", "s_suppkey"), parsed_names(spark, sf_dir, _FULL)
 
 
+def _raw_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return raw_names(spark, sf_dir, _INITIAL, "supplier", "s_suppkey"), raw_names(spark, sf_dir, _FULL)
+
+
 @_query("consistent_pairs_initial_vs_full", f"SELECT s_suppkey AS left_id, c_custkey AS right_id FROM {_SUPPLIERS} JOIN {_CUSTOMERS} ON {_SAME}")
 def consistent_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     suppliers, customers = _sides(spark, sf_dir)
@@ -382,8 +386,8 @@ def anti_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("left_match", f"SELECT s_suppkey AS k, CAST(c_custkey AS VARCHAR) AS right_id FROM {_SUPPLIERS} LEFT JOIN {_CUSTOMERS} ON {_SAME}")
 def left_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    suppliers, customers = _sides(spark, sf_dir)
-    return match_join(suppliers, customers, "k", "k", "left").select("k", F.col("right_id").cast("string").alias("right_id"))
+    suppliers, customers = _raw_sides(spark, sf_dir)
+    return match_join(suppliers, customers.withColumn("k", F.col("k").cast("string")), "k", "k", "left", text="raw").select("k", "right_id")
 
 
 @_query("probe_match", sql("SELECT c_custkey AS k FROM customer WHERE {surname} = 'Hudson' AND {given} = 'Julia'"))
