@@ -374,8 +374,8 @@ def consistent_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("semi_match", f"SELECT s_suppkey AS k FROM {_SUPPLIERS} WHERE EXISTS (SELECT 1 FROM {_CUSTOMERS} WHERE {_SAME})")
 def semi_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    suppliers, customers = _sides(spark, sf_dir)
-    return match_join(suppliers, customers, "k", "k", "left_semi").select("k")
+    suppliers, customers = _raw_sides(spark, sf_dir)
+    return match_join(suppliers, customers, "k", "k", "left_semi", text="raw").select("k")
 
 
 @_query("anti_match", f"SELECT s_suppkey AS k FROM {_SUPPLIERS} WHERE NOT EXISTS (SELECT 1 FROM {_CUSTOMERS} WHERE {_SAME})")

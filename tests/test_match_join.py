@@ -131,3 +131,20 @@ def test_left_match_query_parses_different_texts_alone(spark):
     out = QUERIES["left_match"](spark, "/root/testdata/sf0.1")
     out.collect()
     assert 0 < parsed_rows(out) <= 2 * (175 + 425) + 1000
+
+
+def test_semi_match_of_texts_parses_each_once(sides, want):
+    left, right = (df.drop("p") for df in sides)
+    matched = {a for a, _ in want}
+    for how, ids in (("left_semi", matched), ("left_anti", set(range(len(LEFT) * COPIES)) - matched)):
+        out = match_join(left, right, "id", "id", how, text="raw")
+        assert sorted(r.id for r in out.collect()) == sorted(ids) and out.columns == left.columns
+        assert max(joined_rows(out)) <= left.count()
+        assert 0 < parsed_rows(out) <= 2 * len(LEFT) + len(RIGHT) + len(LEFT) * len(RIGHT)
+
+
+def test_semi_match_query_parses_different_texts_alone(spark):
+    """Of 1,000 suppliers and 15,000 customers there are 175 and 425 different names."""
+    out = QUERIES["semi_match"](spark, "/root/testdata/sf0.1")
+    out.collect()
+    assert 0 < parsed_rows(out) <= 2 * 175 + 425 + 1000
