@@ -4,7 +4,8 @@ Equal records of a side are one before any pairing: pairs are of different recor
 rows come back to them by a native join on the record.  Semi and anti joins need no row
 of the other side for that, and copies are multiplied only where pairs are asked for.
 Rows of a stream stay apart, for gathering them takes state.  Joins told the column of
-raw texts parse each different text once instead of every row.
+raw texts parse each different text (once for its record, and again where rows come back
+to the record) instead of every row.
 
 Equal surname keys are necessary, so every pairing is an equi-join on the key (spread
 by AQE where a key is hot) with native conjuncts in its condition; the kernel runs on
